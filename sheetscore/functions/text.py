@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as Python's str.split sees it (Java's \s alone misses NBSP and the
 # four information separators).
@@ -117,7 +118,7 @@ def _common_length(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_common_length(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
 

@@ -47,11 +47,11 @@ def run_filter(runs: DataFrame, stage: str | None = None, task: str | None = Non
 
 def comparable(runs: DataFrame) -> DataFrame:
     """Per stage: may these runs be compared? Task, and approach where the stage has one, must be fixed."""
-    one_task = F.count_distinct("task") == 1
-    one_mode = (F.col("stage") == "detection") | (F.count_distinct(extra("mode")) == 1)
-    return runs.groupBy("stage").agg(one_task.alias("_t"), F.count_distinct(extra("mode")).alias("_m")).select(
-        "stage", (F.col("_t") & ((F.col("stage") == "detection") | (F.col("_m") == 1))).alias("comparable")
+    kinds = runs.groupBy("stage").agg(
+        F.size(F.collect_set("task")).alias("_tasks"), F.size(F.collect_set(extra("mode"))).alias("_modes")
     )
+    fixed = (F.col("_tasks") == 1) & ((F.col("stage") == "detection") | (F.col("_modes") == 1))
+    return kinds.select("stage", fixed.alias("comparable"))
 
 
 def stage_metric() -> Column:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # per-image folds are heavy for their bytes: do not pack small shuffles into one task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
