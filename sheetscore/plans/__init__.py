@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("box_queries",)
+MODULES = ("field_queries", "text_queries", "box_queries")
 
 
 def all_queries():
