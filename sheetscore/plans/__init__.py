@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("field_queries", "text_queries", "box_queries")
+MODULES = ("field_queries", "text_queries", "box_queries", "key_queries", "run_queries", "context_queries")
 
 
 def all_queries():

@@ -194,10 +194,10 @@ def coerced(s: Source):
 
 
 @query("token_usage", """SELECT event_id, user_id AS input_tokens, CAST(json_extract(props, '$.k') AS BIGINT) AS output_tokens,
-CASE WHEN event_type = 'view' THEN CAST(value AS BIGINT) ELSE user_id + CAST(json_extract(props, '$.k') AS BIGINT) END AS total_tokens FROM events""")
+CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) ELSE user_id + CAST(json_extract(props, '$.k') AS BIGINT) END AS total_tokens FROM events""")
 def tokens_used(s: Source):
     k = F.get_json_object("props", "$.k").cast("bigint")
-    total = F.when(F.col("event_type") == "view", F.round("value").cast("bigint"))
+    total = F.when(F.col("event_type") == "view", F.floor("value").cast("bigint"))
     old, none = F.col("event_type") == "click", F.lit(None).cast("bigint")
     u = norm_usage(F.when(~old, F.col("user_id")), F.when(old, F.col("user_id")), F.when(~old, k), F.when(old, k), total)
     return s.table("events").select("event_id", u.alias("u")).select("event_id", "u.*")

@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this name beside the checkpoints, where every executor can write."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
