@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import exact_round
+
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
@@ -40,11 +42,11 @@ def corners(bbox: Column) -> list[Column]:
 
 
 def box_area(bbox: Column) -> Column:
-    return F.round(bbox[2] * bbox[3], 2)
+    return exact_round(bbox[2] * bbox[3], 2)
 
 
 def round_box(bbox: Column, digits: int) -> Column:
-    return F.transform(bbox, lambda v: F.round(v, digits))
+    return F.transform(bbox, lambda v: exact_round(v, digits))
 
 
 def yolo_box(bbox: Column, width: Column, height: Column) -> list[Column]:

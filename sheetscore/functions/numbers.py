@@ -46,6 +46,43 @@ def numbers_equal(a: Column, b: Column, rel: float = REL_TOL, abs_: float = ABS_
     return close(first_number(a), first_number(b), rel, abs_)
 
 
+def _rounded(v: Column, digits: int) -> tuple[Column, Column]:
+    """Whole part and rounded decimals (as an integer) of |v|, halves to even; at most 6 digits.
+
+    Decided on the exact binary value, as C and Python do; the engine's own
+    `round` works on the printed digits and differs on ties such as 12.25. The
+    fraction times 2^100 is an integer, kept as a decimal of two parts.
+    """
+    size = F.abs(v)
+    whole = F.floor(size)
+    share = size - whole
+    high = F.floor(share * F.lit(2.0**40))
+    low = F.floor((share * F.lit(2.0**40) - high) * F.lit(2.0**60))
+    exact = (high.cast("decimal(13,0)") * F.lit(2**60).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("decimal(31,0)")
+    unit = (F.lit(2**60).cast("decimal(19,0)") * F.lit(2**40).cast("decimal(13,0)")).cast("decimal(31,0)")
+    near = F.floor(share * F.lit(float(10**digits)))
+    rest = (exact * F.lit(10**digits).cast("decimal(7,0)") - near.cast("decimal(7,0)") * unit) * F.lit(2).cast("decimal(1,0)")
+    up = (rest > unit) | ((rest == unit) & (near % 2 == 1))
+    return whole, near + up.cast("bigint")
+
+
+def exact_round(v: Column, digits: int) -> Column:
+    """Python's round(v, digits)."""
+    whole, part = _rounded(v, digits)
+    size = (whole * 10**digits + part) / F.lit(float(10**digits))
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def fixed(v: Column, digits: int) -> Column:
+    """Python's '%.{digits}f'."""
+    whole, part = _rounded(v, digits)
+    shown = whole * 10**digits + part
+    text = F.concat(
+        F.floor(shown / 10**digits).cast("string"), F.lit("."), F.lpad((shown % 10**digits).cast("string"), digits, "0")
+    )
+    return F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den, 0 when the denominator is 0."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)

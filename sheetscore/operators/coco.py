@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import yolo_box
+from ..functions.numbers import fixed
 from ..functions.text import stem
 from .groups import checked_broadcast
 
@@ -53,7 +54,7 @@ def yolo_rows(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     real = annotations.filter((F.col("bbox")[2] > 0) & (F.col("bbox")[3] > 0))
     rows = real.join(index, "category_id").join(sized, "image_id")
     shares = yolo_box(F.col("bbox"), F.col("width"), F.col("height"))
-    return rows.select("stem", "id", F.format_string("%d %.6f %.6f %.6f %.6f", F.col("class_index"), *shares).alias("line"))
+    return rows.select("stem", "id", F.concat_ws(" ", F.col("class_index").cast("string"), *[fixed(c, 6) for c in shares]).alias("line"))
 
 
 def coco_documents(images: DataFrame, boxes: DataFrame, categories: DataFrame, boxes_per_document: int = 50_000) -> DataFrame:

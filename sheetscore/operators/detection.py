@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import f1, ratio
+from ..functions.numbers import exact_round, f1, ratio
+from ..functions.boxes import CORNERS
 from .assign import greedy_box_match
 from .overlap import argmax_box_match
 from .prefix import MAX_WINDOW_ROWS, ordered
@@ -40,7 +41,7 @@ def curve(marks: DataFrame, n_gt: DataFrame, max_rows: int = MAX_WINDOW_ROWS) ->
     steps = ordered(marks.select(*CURVE, "image", "pred_idx", "score", "is_tp"), CURVE, order, max_rows).running(
         cum_tp=F.col("is_tp").cast("long"), cum_n=F.lit(1).cast("long")
     )
-    steps = steps.max_from_here("envelope", F.col("cum_tp") / F.col("cum_n")).done()
+    steps = steps.max_from_here("envelope", F.col("cum_tp") / F.col("cum_n"), "cum_n").done()
     return steps.join(F.broadcast(n_gt), "class").withColumns(
         {
             "cum_fp": F.col("cum_n") - F.col("cum_tp"),
@@ -93,8 +94,8 @@ def _with_rates(df: DataFrame) -> DataFrame:
 def detection_rollup(scores: DataFrame) -> DataFrame:
     """Per run: micro precision, recall and F1; means of the rounded per-class AP and best F1."""
     out = scores.groupBy("run_id").agg(
-        F.round(F.avg(F.round("map50", 4)), 4).alias("map50"),
-        F.round(F.avg(F.round("best_f1", 4)), 4).alias("best_f1"),
+        exact_round(F.avg(exact_round(F.col("map50"), 4)), 4).alias("map50"),
+        exact_round(F.avg(exact_round(F.col("best_f1"), 4)), 4).alias("best_f1"),
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_gt", "n_pred")],
     )
     return _with_rates(out)
@@ -143,11 +144,11 @@ def detection_detail(pred: DataFrame, gt: DataFrame, sizes: DataFrame) -> DataFr
     The truth list belongs to one image; the prediction list is bounded by
     `top_predictions`.
     """
-    box = lambda *more: F.struct("class", *more, *[F.round(c, 1).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    truth = gt.groupBy("image").agg(F.sort_array(F.collect_list(box("gt_idx"))).alias("gt"))
+    box = [exact_round(F.col(c), 1).alias(c) for c in CORNERS]
+    truth = gt.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("class", "gt_idx", *box))).alias("gt"))
     best = top_predictions(pred).groupBy("run_id", "image").agg(
         F.sort_array(
-            F.collect_list(F.struct("class", "rank", F.round("score", 4).alias("score"), *[F.round(c, 1).alias(c) for c in ("x1", "y1", "x2", "y2")]))
+            F.collect_list(F.struct("class", "rank", exact_round(F.col("score"), 4).alias("score"), *box))
         ).alias("pred")
     )
     raw = pred.groupBy("run_id", "image").agg(F.count(F.lit(1)).alias("n_pred_total"))

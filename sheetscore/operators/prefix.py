@@ -26,14 +26,13 @@ class Ordered:
     order: list[Column]
     sliced: bool
 
-    def _window(self):
+    def _window(self, *order: Column):
         keys = [*self.keys, "_slice"] if self.sliced else self.keys
-        return Window.partitionBy(*keys).orderBy(*self.order)
+        return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
-    def _offsets(self, out: str, total: Column, earlier: bool, fold) -> DataFrame:
-        """Per (key, slice): `fold` over the slices before or after it."""
-        span = (Window.unboundedPreceding, -1) if earlier else (1, Window.unboundedFollowing)
-        w = Window.partitionBy(*self.keys).orderBy("_slice").rowsBetween(*span)
+    def _offsets(self, out: str, total: Column, slices: Column, fold) -> DataFrame:
+        """Per (key, slice): `fold` over the slices that come before it in the order `slices`."""
+        w = Window.partitionBy(*self.keys).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
         totals = self.df.groupBy(*self.keys, "_slice").agg(total.alias(out))
         return totals.select(*self.keys, "_slice", fold(out).over(w).alias(out))
 
@@ -41,21 +40,25 @@ class Ordered:
         """Add inclusive running sums."""
         df = self.df
         for out, c in sums.items():
-            df = df.withColumn(out, F.sum(c).over(self._window().rowsBetween(Window.unboundedPreceding, 0)))
+            df = df.withColumn(out, F.sum(c).over(self._window(*self.order)))
         if self.sliced:
             for out, c in sums.items():
-                before = self._offsets("_before", F.sum(c), True, F.sum)
+                before = self._offsets("_before", F.sum(c), F.asc("_slice"), F.sum)
                 df = df.join(before, [*self.keys, "_slice"]).withColumn(
                     out, F.col(out) + F.coalesce("_before", F.lit(0))
                 )
                 df = df.drop("_before")
         return replace(self, df=df)
 
-    def max_from_here(self, out: str, c: Column) -> "Ordered":
-        """Add the maximum over this row and all later ones."""
-        df = self.df.withColumn(out, F.max(c).over(self._window().rowsBetween(0, Window.unboundedFollowing)))
+    def max_from_here(self, out: str, c: Column, number: str) -> "Ordered":
+        """Add the maximum over this row and all later ones.
+
+        `number` counts the rows in order. The window runs backwards: a frame
+        that ends at the last row would be read again for every row.
+        """
+        df = self.df.withColumn(out, F.max(c).over(self._window(F.desc(number))))
         if self.sliced:
-            after = self._offsets("_after", F.max(c), False, F.max)
+            after = self._offsets("_after", F.max(c), F.desc("_slice"), F.max)
             df = df.join(after, [*self.keys, "_slice"]).withColumn(out, F.greatest(out, "_after")).drop("_after")
         return replace(self, df=df)
 

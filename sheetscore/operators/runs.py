@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import f1
+from ..functions.numbers import exact_round, f1
 from ..functions.replies import PRICES, price_of, token_cost
 from ..functions.text import run_slug, task_of_path
 from ..schemas import STAGE_METRIC
@@ -171,7 +171,7 @@ def training_runs(epochs: DataFrame, weights: DataFrame) -> DataFrame:
         *[F.coalesce(f"m.{c}", zero).alias(c) for c in ("map50", "precision", "recall")],
         F.coalesce("epochs", F.lit(0)).alias("epochs"),
     )
-    return out.withColumn("f1", F.round(f1(F.col("precision"), F.col("recall")), 4))
+    return out.withColumn("f1", exact_round(f1(F.col("precision"), F.col("recall")), 4))
 
 
 def of_task(runs: DataFrame, task: str) -> DataFrame:

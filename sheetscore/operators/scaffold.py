@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import round_box
-from ..functions.numbers import no_value
+from ..functions.numbers import exact_round, no_value
 from ..functions.text import has_text, stem
 from ..schemas import FEATURE, META, REGION
 
@@ -72,7 +72,7 @@ def resolve_ids(requests: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def _place(bbox: Column) -> Column:
-    return F.array_join(F.transform(bbox, lambda v: F.round(v, 1).cast("string")), ",")
+    return F.array_join(F.transform(bbox, lambda v: exact_round(v, 1).cast("string")), ",")
 
 
 def carry_text(new_regions: DataFrame, prior: DataFrame) -> DataFrame:

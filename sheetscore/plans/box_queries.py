@@ -131,7 +131,7 @@ def scores(s: Source):
 @query("detection_rollup", _greedy(f"""SELECT run_id, map50, best_f1, tp, fp, fn, n_gt, n_pred, round(precision, 6) AS precision, round(recall, 6) AS recall,
 round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1
 FROM (SELECT *, {RATES} FROM (
-  SELECT run_id, round(avg(round(map50, 4)), 4) AS map50, round(avg(round(best_f1, 4)), 4) AS best_f1, CAST(sum(tp) AS BIGINT) AS tp,
+  SELECT run_id, CAST(printf('%.4f', avg(CAST(printf('%.4f', map50) AS DOUBLE))) AS DOUBLE) AS map50, CAST(printf('%.4f', avg(CAST(printf('%.4f', best_f1) AS DOUBLE))) AS DOUBLE) AS best_f1, CAST(sum(tp) AS BIGINT) AS tp,
          CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(n_gt) AS BIGINT) AS n_gt, CAST(sum(n_pred) AS BIGINT) AS n_pred
   FROM scores GROUP BY run_id) AS t) AS s"""))
 def rollup(s: Source):
@@ -223,7 +223,7 @@ SIZES = "SELECT CAST(o_orderkey AS STRING) AS image, CAST(600 + o_orderkey % 240
 @query("detection_detail", with_inputs("""
 SELECT r.run_id, r.image, s.width::BIGINT AS width, s.height::BIGINT AS height, r.n AS n_pred_total, g.n AS n_gt, coalesce(t.n, 0) AS n_shown, g.first_gt
 FROM (SELECT run_id, image, count(*) AS n FROM pred GROUP BY ALL) r
-JOIN (SELECT image, count(*) AS n, arg_min(round(x1, 1), (class, gt_idx)) AS first_gt FROM gt GROUP BY image) g USING (image)
+JOIN (SELECT image, count(*) AS n, CAST(printf('%.1f', arg_min(x1, (class, gt_idx))) AS DOUBLE) AS first_gt FROM gt GROUP BY image) g USING (image)
 JOIN sizes s USING (image)
 LEFT JOIN (SELECT run_id, image, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, image, class ORDER BY score DESC, pred_idx) AS k FROM pred WHERE score >= 0.05) q WHERE k <= 120 GROUP BY ALL) t
 USING (run_id, image)""", pred=PRED, gt=GT, sizes=SIZES))
@@ -235,7 +235,7 @@ def detail(s: Source):
 
 
 @query("box_columns", with_inputs("""
-SELECT b.image, idx, x AS x1, y AS y1, x + w AS x2, y + h AS y2, round(w * h, 2) AS area, round(round(w * 1.37, 2), 1) AS w1,
+SELECT b.image, idx, x AS x1, y AS y1, x + w AS x2, y + h AS y2, CAST(printf('%.2f', w * h) AS DOUBLE) AS area, CAST(printf('%.1f', w * 1.37) AS DOUBLE) AS w1,
   greatest(0, CAST(trunc(x * 1.37) AS BIGINT) - 4) AS crop_x1, greatest(0, CAST(trunc(y) AS BIGINT) - 4) AS crop_y1,
   least(s.width, CAST(trunc(x * 1.37 + w) AS BIGINT) + 4) AS crop_x2, least(s.height, CAST(trunc(y + h) AS BIGINT) + 4) AS crop_y2
 FROM base b JOIN sizes s USING (image) WHERE x <> 0 OR y <> 0 OR w <> 0 OR h <> 0""", base=BASE, sizes=SIZES))
@@ -244,7 +244,7 @@ def columns(s: Source):
     rows = s.sql(BASE).filter(has_box(bbox)).join(s.sql(SIZES), "image")
     window = {"x1": F.col("x") * 1.37, "y1": F.col("y"), "x2": F.col("x") * 1.37 + F.col("w"), "y2": F.col("y") + F.col("h")}
     return rows.select("image", "idx", *corners(bbox), box_area(bbox).alias("area"),
-                       round_box(F.array(F.round(F.col("w") * 1.37, 2)), 1)[0].alias("w1"),
+                       round_box(F.array(F.col("w") * 1.37), 1)[0].alias("w1"),
                        *crop_window(window, F.col("width"), F.col("height")))
 
 

@@ -53,7 +53,7 @@ def annotations(s: Source) -> DataFrame:
 
 IMAGES = f"images AS (SELECT image, k, row_number() OVER (ORDER BY lpad(image, 12, '0')) - 1 AS image_id FROM (SELECT DISTINCT image, k FROM r) AS d)"
 BOXES = f"""{IMAGES}, boxes AS (SELECT row_number() OVER (ORDER BY i.image_id, r.pos) - 1 AS id, i.image_id, r.image, r.pos,
-CASE WHEN r.class = 'table' THEN 2 ELSE 1 END AS category_id, x, y, w, h, round(w * h, 2) AS area
+CASE WHEN r.class = 'table' THEN 2 ELSE 1 END AS category_id, x, y, w, h, CAST(printf('%.2f', w * h) AS DOUBLE) AS area
 FROM r JOIN images i USING (image) WHERE ({LIVE.replace('k %', 'r.k %')}) AND ({BOX}))"""
 
 
@@ -195,23 +195,20 @@ PRIOR = f"SELECT image, 0 AS source, pos, x + 0.02 AS x, y, w, h, text FROM ({RE
 
 
 @query("carry_text", with_inputs("", r=REGIONS, p=PRIOR) + """, kept AS (
-SELECT image, concat_ws(',', round(x, 1), round(y, 1), round(w, 1), round(h, 1)) AS at, arg_min(text, (source, pos)) AS t FROM p WHERE trim(coalesce(text, '')) <> '' GROUP BY ALL)
-SELECT r.image, r.pos, coalesce(k.t, '') AS text FROM r LEFT JOIN kept k ON k.image = r.image AND k.at = concat_ws(',', round(r.x, 1), round(r.y, 1), round(r.w, 1), round(r.h, 1))""")
+SELECT image, concat_ws(',', printf('%.1f', x), printf('%.1f', y), printf('%.1f', w), printf('%.1f', h)) AS at, arg_min(text, (source, pos)) AS t FROM p WHERE trim(coalesce(text, '')) <> '' GROUP BY ALL)
+SELECT r.image, r.pos, coalesce(k.t, '') AS text FROM r LEFT JOIN kept k ON k.image = r.image AND k.at = concat_ws(',', printf('%.1f', r.x), printf('%.1f', r.y), printf('%.1f', r.w), printf('%.1f', r.h))""")
 def carried(s: Source):
     new = s.sql(REGIONS).select("image", "pos", F.array("x", "y", "w", "h").alias("bbox"))
     old = s.sql(PRIOR).select("image", "source", "pos", F.array("x", "y", "w", "h").alias("bbox"), "text")
     return carry_text(new, old).select("image", "pos", "text")
 
 
-@query("scaffold_records", with_inputs("", r=REGIONS, s=SIZES) + f"""
+@query("scaffold_records", with_inputs("", r0=REGIONS, s=SIZES) + f""", r AS (SELECT *, bool_or({TEXT} <> '') OVER (PARTITION BY image, x, y, w, h) AS found FROM r0)
 SELECT s.image, coalesce(count(r.image), 0) + count(r.image) FILTER (r.class = 'table') AS n_regions, CAST(CASE WHEN count(r.image) > 0 THEN 2 ELSE 15 END AS BIGINT) AS n_features,
-count(r.image) FILTER ({TEXT} <> '') + count(r.image) FILTER (r.class = 'table' AND {TEXT} <> '') AS n_texts
+count(r.image) FILTER (found) + count(r.image) FILTER (r.class = 'table' AND {TEXT} <> '') AS n_texts
 FROM s LEFT JOIN r USING (image) GROUP BY s.image""")
 def scaffolded(s: Source):
-    """Every order becomes a record; lines are both its resolved boxes and its earlier annotation.
-
-    Equal boxes of one order carry one text, so the twin holds where no box repeats within an order.
-    """
+    """Every order becomes a record; lines are both its resolved boxes and its earlier annotation.; equal places share their text."""
     images = s.sql(SIZES).withColumn("image_id", F.col("image"))
     boxes = s.sql(REGIONS).select(F.col("image").alias("image_id"), F.col("pos").alias("id"), "class", F.array("x", "y", "w", "h").alias("bbox"))
     out = scaffold_records(images, boxes, annotations(s), FEATURE_SCHEMA)

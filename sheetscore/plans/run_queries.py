@@ -124,8 +124,8 @@ def models(s: Source):
 MODEL = "CASE event_type WHEN 'view' THEN 'Claude-Sonnet-4' WHEN 'click' THEN 'gpt-4o-mini' WHEN 'error' THEN 'gemini-pro' ELSE 'local' END"
 
 
-@query("token_cost", f"""SELECT event_id, round(CASE event_type WHEN 'view' THEN user_id / 1000000 * 3.0 + event_id / 1000000 * 15.0 WHEN 'click' THEN user_id / 1000000 * 2.5 + event_id / 1000000 * 10.0
-WHEN 'error' THEN user_id / 1000000 * 1.25 + event_id / 1000000 * 5.0 END, 6) AS cost_usd FROM events""")
+@query("token_cost", f"""SELECT event_id, CAST(printf('%.6f', CASE event_type WHEN 'view' THEN user_id / 1000000 * 3.0 + event_id / 1000000 * 15.0 WHEN 'click' THEN user_id / 1000000 * 2.5 + event_id / 1000000 * 10.0
+WHEN 'error' THEN user_id / 1000000 * 1.25 + event_id / 1000000 * 5.0 END) AS DOUBLE) AS cost_usd FROM events""")
 def cost(s: Source):
     usage = s.table("events").select("event_id", F.expr(MODEL).alias("model"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"))
     return with_cost(usage).select("event_id", "cost_usd")
@@ -141,7 +141,7 @@ def _training(s: Source) -> DataFrame:
     return training_runs(epochs, weights)
 
 
-@query("training_runs", with_inputs("", e=EPOCHS) + f", {FINAL} SELECT run_dir, map50, epochs, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM last WHERE contains(lower(run_dir), 'table')")
+@query("training_runs", with_inputs("", e=EPOCHS) + f", {FINAL} SELECT run_dir, map50, epochs, CAST(printf('%.4f', CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END) AS DOUBLE) AS f1 FROM last WHERE contains(lower(run_dir), 'table')")
 def training(s: Source):
     return list_training_runs(of_task(_training(s), "tables")).select("run_dir", "map50", "epochs", "f1")
 
