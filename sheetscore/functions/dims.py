@@ -48,7 +48,8 @@ def parse_normalized(norm: Column, raw: Column) -> Column:
 
 
 def parse_dimension(text: Column) -> Column:
-    return parse_normalized(normalize_text(text), text)
+    """Parts of a callout. The normal form is bound once: every part reads it."""
+    return F.transform(F.array(normalize_text(text)), lambda norm: parse_normalized(norm, text))[0]
 
 
 def dims_equal(pred: Column, gt: Column) -> Column:

@@ -11,21 +11,15 @@ from pyspark.sql import types as T
 # four information separators).
 _WS = r"(?U)[\s\x1c-\x1f]"
 
-# Symbol rewrites, applied top to bottom.
+# Symbol rewrites over lower-cased text, applied top to bottom.
 SYMBOL_REWRITES = [
-    (r"[⌀Øø∅]", " diam "),
-    (r"(?iU)\bdia\b\.?", " diam "),
-    (r"(?iU)\bphi\b", " diam "),
-    (r"(?iU)\bdiameter\b", " diam "),
-    (r"(?iU)\bradius\b", " rad "),
-    (r"(?iU)\brad\b\.?", " rad "),
-    (r"(?iU)\br\s*(?=\d)", " rad "),
-    (r"°", " deg "),
-    (r"(?iU)\bdegrees?\b", " deg "),
+    (r"[⌀ø∅]", " diam "),
+    (r"(?U)\b(?:dia\b\.?|phi\b|diameter\b)", " diam "),
+    (r"(?U)\b(?:radius\b|rad\b\.?)", " rad "),
+    (r"(?U)\br\s*(?=\d)", " rad "),
+    (r"(?U)°|\bdegrees?\b", " deg "),
     (r"[×✕]", " x "),
-    (r"，", ","),
-    (r"(?U)\s*\+/-\s*", "±"),
-    (r"(?U)\s*\+-\s*", "±"),
+    (r"(?U)\s*\+/?-\s*", "±"),
 ]
 # Fixed value: punctuation dropped from both ends of a token.
 TOKEN_EDGES = ".,;:()[]{}\"'`°|"
@@ -46,6 +40,8 @@ def has_text(c: Column) -> Column:
 
 
 def unify_symbols(c: Column) -> Column:
+    """Diameter, radius, degree, times and plus-minus signs and words in one spelling, lower case."""
+    c = F.replace(F.lower(c), F.lit("，"), F.lit(","))
     for pattern, replacement in SYMBOL_REWRITES:
         c = F.regexp_replace(c, pattern, replacement)
     return c
@@ -54,7 +50,7 @@ def unify_symbols(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """Canonical callout text: symbols unified, decimal dot, lower case; NULL gives ''."""
     c = unify_symbols(F.coalesce(c.cast("string"), F.lit("")))
-    return squeeze(F.lower(F.replace(c, F.lit(","), F.lit("."))))
+    return squeeze(F.replace(c, F.lit(","), F.lit(".")))
 
 
 def texts_equal(a: Column, b: Column) -> Column:

@@ -35,10 +35,10 @@ def truth_counts(gt: DataFrame) -> DataFrame:
     return gt.groupBy("class").agg(F.count(F.lit(1)).alias("n_gt"))
 
 
-def curve(marks: DataFrame, n_gt: DataFrame, max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def curve(marks: DataFrame, n_gt: DataFrame, max_rows: int = MAX_WINDOW_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Precision and recall after every mark, by falling score, with the precision envelope."""
     order = [F.desc("score"), F.asc("image"), F.asc("pred_idx")]
-    steps = ordered(marks.select(*CURVE, "image", "pred_idx", "score", "is_tp"), CURVE, order, max_rows).running(
+    steps = ordered(marks.select(*CURVE, "image", "pred_idx", "score", "is_tp"), CURVE, order, max_rows, counted).running(
         cum_tp=F.col("is_tp").cast("long"), cum_n=F.lit(1).cast("long")
     )
     steps = steps.max_from_here("envelope", F.col("cum_tp") / F.col("cum_n"), "cum_n").done()
@@ -61,7 +61,7 @@ def detection_scores(marks: DataFrame, pred: DataFrame, gt: DataFrame, conf: flo
     """
     n_gt = truth_counts(gt)
     sure = F.col("score") >= conf
-    points = curve(marks.filter("scored"), n_gt, max_rows).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    points = curve(marks.filter("scored"), n_gt, max_rows, pred).withColumn("f1", f1(F.col("precision"), F.col("recall")))
     scored = points.groupBy(*CURVE).agg(
         (F.sum(F.col("is_tp") * F.col("envelope")) / F.first("n_gt")).alias("map50"),
         F.sum(F.when(sure, F.col("is_tp")).otherwise(0)).alias("tp"),
@@ -109,7 +109,7 @@ def ap_11_point(pred: DataFrame, gt: DataFrame, thr: float = 0.5, max_rows: int
     """Second scorer, per (run, class): eleven recall levels over padded ratios."""
     marks = argmax_box_match(pred, gt, thr, **bounds)
     n_gt = truth_counts(gt)
-    points = curve(marks, n_gt, max_rows).withColumns(
+    points = curve(marks, n_gt, max_rows, pred).withColumns(
         {
             "precision": F.col("cum_tp") / (F.col("cum_n") + F.lit(EPS)),
             "recall": F.col("cum_tp") / (F.col("n_gt") + F.lit(EPS)),

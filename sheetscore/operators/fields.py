@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import VALUE, capped_ape, ratio, verdict
@@ -18,9 +18,13 @@ def field_map(long: DataFrame, keys: list[str], field: str = "field", value: str
 
 
 def first_per_image(results: DataFrame, keys: list[str]) -> DataFrame:
-    """The first error-free result of an image in file order."""
+    """The first error-free result of an image in file order.
+
+    Each task keeps one row per image before the shuffle (window group limit).
+    """
     ok = results.filter(F.col("error").isNull() | (F.col("error") == ""))
-    return ok.groupBy(*keys, "image").agg(F.min_by("fields", "seq").alias("fields"))
+    place = F.row_number().over(Window.partitionBy(*keys, "image").orderBy("seq"))
+    return ok.withColumn("_place", place).filter(F.col("_place") == 1).select(*keys, "image", "fields")
 
 
 def score_fields(key: DataFrame, results: DataFrame, by_mode: bool = True) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box_area, corners, has_box
-from ..functions.dims import parse_dimension
+from ..functions.dims import parse_normalized
 from ..functions.numbers import pred_present
-from ..functions.text import has_text, strip
+from ..functions.text import has_text, normalize_text, strip
 from ..schemas import CATEGORIES
 from .prefix import sequential_ids
 
@@ -108,9 +108,9 @@ def field_key(annotations: DataFrame) -> DataFrame:
 def parsed_dimensions(annotations: DataFrame) -> DataFrame:
     """Dimension regions with their parsed callout; a stored parse is kept."""
     rows = region_rows(drop_drafts(annotations)).filter((F.col("class") == "dimension") & has_text(F.col("text")))
-    return rows.select(
-        "image", "pos", "bbox", "text", F.coalesce("parsed", parse_dimension(F.col("text"))).alias("parsed")
-    )
+    rows = rows.withColumn("_norm", normalize_text(F.col("text")))  # read by every part, so kept as a column
+    parsed = F.coalesce("parsed", parse_normalized(F.col("_norm"), F.col("text")))
+    return rows.select("image", "pos", "bbox", "text", parsed.alias("parsed"))
 
 
 def answer_keys(annotations: DataFrame) -> dict[str, DataFrame]:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import CORNERS, iou
 from .groups import MAX_CELLS, MAX_ROWS, checked_broadcast, oversized_pairs
 
 KEYS = ("run_id", "image", "class")
+# Fixed value: what the second scorer adds to a union.
+EPS = 1e-6
 
 
 def _box(df: DataFrame, name: str, *fields: str) -> Column:
@@ -100,23 +102,27 @@ def gt_hit(pred: DataFrame, gt: DataFrame, conf: float = 0.25, thr: float = 0.5,
     return boxes.join(hit, [*t_keys, "t"]).select(*keys, "gt_idx")
 
 
-def argmax_box_match(pred: DataFrame, gt: DataFrame, thr: float = 0.5, keys: tuple[str, ...] = KEYS, **bounds) -> DataFrame:
-    """Each prediction goes for its best box of all, taken or not.
+def _best_small(pred: DataFrame, gt: DataFrame, thr: float, keys: list[str], t_keys: list[str]) -> DataFrame:
+    """The truth boxes of an image travel as one array; the rest stays where that join put it."""
+    boxes = gt.groupBy(*t_keys).agg(F.collect_list(_box(gt, "t", "gt_idx")).alias("_ts"))
+    box = F.struct(*CORNERS)
+    choice = F.transform("_ts", lambda t: F.struct(iou(box, t, eps=EPS).alias("v"), (-t["gt_idx"]).alias("g")))
+    best = F.array_max(F.filter(choice, lambda c: c["v"] >= thr))
+    rows = pred.select(*keys, "pred_idx", "score", *CORNERS).join(boxes, t_keys, "left")
+    rows = rows.select(*keys, "pred_idx", "score", (-best["g"]).alias("gt_idx"))
+    turn = F.row_number().over(Window.partitionBy(*keys, "gt_idx").orderBy(F.desc("score"), F.asc("pred_idx")))
+    return rows.withColumn("is_tp", (F.col("gt_idx").isNotNull() & (turn == 1)).cast("int"))
 
-    The first one by score gets it; later ones, and those below `thr`, are
-    false. -> (keys, pred_idx, score, is_tp, gt_idx)
-    """
-    keys = list(keys)
-    t_keys = [k for k in keys if k in gt.columns]
-    # copies of a box are equal choices: the lowest index stands for them
+
+def _best_large(pred: DataFrame, gt: DataFrame, thr: float, keys: list[str], t_keys: list[str]) -> DataFrame:
+    """Copies of a box choose alike and are equal choices, so distinct boxes meet on the grid."""
     boxes = gt.groupBy(*t_keys, *CORNERS).agg(F.min("gt_idx").alias("gt_idx"))
     p = pred.select(*keys, _box(pred, "p")).distinct()
-    t = boxes.select(*t_keys, _box(boxes, "t", "gt_idx"))
-    # any overlap that reaches `thr` beats all that do not, so those suffice
-    # (the padded union of this scorer only lowers a value)
-    padded = iou(F.col("p"), F.col("t"), eps=1e-6)
+    t = boxes.select(*t_keys, _box(boxes, "t", "gt_idx")).join(p.select(*keys).distinct(), t_keys)
+    # any overlap that reaches `thr` beats all that do not (padding only lowers a value)
+    padded = iou(F.col("p"), F.col("t"), eps=EPS)
     best = (
-        iou_join(p, t, thr, keys, **bounds)
+        _grid_join(p, t, keys, thr)
         .filter(padded >= thr)
         .groupBy(*keys, "p")
         .agg(F.max(F.struct(padded.alias("v"), (-F.col("t.gt_idx")).alias("g"))).alias("_best"))
@@ -129,10 +135,27 @@ def argmax_box_match(pred: DataFrame, gt: DataFrame, thr: float = 0.5, keys: tup
         .groupBy(*keys, "gt_idx")
         .agg(F.min_by("pred_idx", turn).alias("_first"))
     )
-    return rows.join(first, [*keys, "gt_idx"], "left").select(
-        *keys,
-        "pred_idx",
-        "score",
-        F.coalesce(F.col("pred_idx") == F.col("_first"), F.lit(False)).cast("int").alias("is_tp"),
-        "gt_idx",
-    )
+    hit = F.coalesce(F.col("pred_idx") == F.col("_first"), F.lit(False)).cast("int")
+    return rows.join(first, [*keys, "gt_idx"], "left").select(*keys, "pred_idx", "score", "gt_idx", hit.alias("is_tp"))
+
+
+def argmax_box_match(
+    pred: DataFrame, gt: DataFrame, thr: float = 0.5, keys: tuple[str, ...] = KEYS,
+    max_rows: int = MAX_ROWS, max_cells: int = MAX_CELLS,
+) -> DataFrame:
+    """Each prediction goes for its best box of all, taken or not.
+
+    The first one by score gets it; later ones, and those below `thr`, are
+    false. -> (keys, pred_idx, score, is_tp, gt_idx)
+    """
+    keys = list(keys)
+    t_keys = [k for k in keys if k in gt.columns]
+    big = oversized_pairs(pred, gt, keys, t_keys, max_rows, max_cells)
+    if big is None:
+        out = _best_small(pred, gt, thr, keys, t_keys)
+    else:
+        big_keys, long_keys = (checked_broadcast(part) for part in big)
+        short = gt.join(long_keys, t_keys, "left_anti")
+        small = _best_small(pred.join(big_keys, keys, "left_anti"), short, thr, keys, t_keys)
+        out = small.unionByName(_best_large(pred.join(big_keys, keys, "left_semi"), gt, thr, keys, t_keys))
+    return out.select(*keys, "pred_idx", "score", "is_tp", "gt_idx")

@@ -66,9 +66,14 @@ class Ordered:
         return self.df.drop("_slice")
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[Column], max_rows: int = MAX_WINDOW_ROWS) -> Ordered:
-    """`order` must be total within a key."""
-    if oversized(df, keys, max_rows) is None:
+def ordered(
+    df: DataFrame, keys: list[str], order: list[Column], max_rows: int = MAX_WINDOW_ROWS, counted: DataFrame | None = None
+) -> Ordered:
+    """`order` must be total within a key.
+
+    `counted` is a cheaper table that has at least as many rows per key.
+    """
+    if oversized(df if counted is None else counted, keys, max_rows) is None:
         return Ordered(df, keys, order, False)
     by = [*[F.col(k) for k in keys], *order]
     sliced = cut(df.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id()))

@@ -114,7 +114,7 @@ def box_match(s: Source):
 @query("precision_recall_curve", _greedy("SELECT run_id, class, image, pred_idx, cum_tp, cum_n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(envelope, 6) AS envelope FROM curve"))
 def precision_recall_curve(s: Source):
     pred, gt = _boxes(s)
-    points = curve(greedy_box_match(pred, gt).filter("scored"), truth_counts(gt))
+    points = curve(greedy_box_match(pred, gt).filter("scored"), truth_counts(gt), counted=pred)
     return points.select("run_id", "class", "image", "pred_idx", "cum_tp", "cum_n", *r6("precision", "recall", "envelope"))
 
 

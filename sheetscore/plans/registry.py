@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -32,9 +32,10 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, heavy: bool = False) -> DataFrame:
+        """`heavy` inputs are dealt out to all cores before the row-wise work on them."""
         used = {n for n in re.findall(r"\{(\w+)\}", text)}
-        return self.spark.sql(text, **{n: self.table(n) for n in used})
+        return self.spark.sql(text, **{n: spread(self.table(n)) if heavy else self.table(n) for n in used})
 
 
 def plain(sql: str) -> str:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dims import dims_equal, parse_dimension, parse_normalized
+from ..functions.dims import dims_equal, parse_normalized
 from ..functions.numbers import first_number, numbers_equal
-from ..functions.text import fold, normalize_text, texts_equal, tokens
+from ..functions.text import fold, normalize_text, tokens
 from ..operators.strings import char_overlap, detection_cost, string_detail, string_scores, token_flags, whole_text_scores, word_overlap
 from .registry import Source, query, r6, with_inputs
 
@@ -50,12 +50,13 @@ NORMED = f"n AS (SELECT {IDS}, a, b, {_norm('a')} AS na, {_norm('b')} AS nb FROM
 
 @query("normalize_text", with_inputs("", c=CALLOUTS) + f", {NORMED} SELECT {IDS}, na, nb, na = nb AS equal FROM n")
 def normalized(s: Source):
-    return s.sql(CALLOUTS).select(*ID, normalize_text(F.col("a")).alias("na"), normalize_text(F.col("b")).alias("nb"), texts_equal(F.col("a"), F.col("b")).alias("equal"))
+    return s.sql(CALLOUTS, heavy=True).select(*ID, normalize_text(F.col("a")).alias("na"), normalize_text(F.col("b")).alias("nb")).withColumn("equal", F.col("na") == F.col("nb"))
 
 
 @query("parse_dimension", with_inputs("", c=CALLOUTS) + f", {NORMED} SELECT {IDS}, {_parsed('na', '')} FROM n")
 def parsed(s: Source):
-    rows = s.sql(CALLOUTS).select(*ID, parse_dimension(F.col("a")).alias("d"))
+    rows = s.sql(CALLOUTS, heavy=True).select(*ID, "a", normalize_text(F.col("a")).alias("n"))
+    rows = rows.select(*ID, parse_normalized(F.col("n"), F.col("a")).alias("d"))
     return rows.select(*ID, "d.symbol", "d.value", "d.tol_plus", "d.tol_minus", "d.unit")
 
 
@@ -67,7 +68,7 @@ def _part(c: str) -> str:
 e AS (SELECT {IDS}, {_part('value')} AS value, {_part('tol_plus')} AND {_part('tol_minus')} AS tolerance, psymbol IS NOT DISTINCT FROM gsymbol AS symbol FROM d)
 SELECT *, value AND tolerance AND symbol AS exact FROM e""")
 def compared(s: Source):
-    rows = s.sql(CALLOUTS).select(*ID, normalize_text(F.col("a")).alias("na"), normalize_text(F.col("b")).alias("nb"), "a", "b")
+    rows = s.sql(CALLOUTS, heavy=True).select(*ID, normalize_text(F.col("a")).alias("na"), normalize_text(F.col("b")).alias("nb"), "a", "b")
     rows = rows.select(*ID, parse_normalized(F.col("na"), F.col("a")).alias("p"), parse_normalized(F.col("nb"), F.col("b")).alias("g"))
     return rows.select(*ID, dims_equal(F.col("p"), F.col("g")).alias("e")).select(*ID, "e.*")
 
@@ -76,7 +77,7 @@ def compared(s: Source):
 SELECT *, try_cast(replace(nullif(regexp_extract(a, '[-+]?\\d*[.,]?\\d+'), ''), ',', '.') AS DOUBLE) AS x,
 try_cast(replace(nullif(regexp_extract(b, '[-+]?\\d*[.,]?\\d+'), ''), ',', '.') AS DOUBLE) AS y FROM c) AS q""", c=CALLOUTS))
 def numbers(s: Source):
-    return s.sql(CALLOUTS).select(*ID, first_number(F.col("a")).alias("number"), numbers_equal(F.col("a"), F.col("b")).alias("equal"))
+    return s.sql(CALLOUTS, heavy=True).select(*ID, first_number(F.col("a")).alias("number"), numbers_equal(F.col("a"), F.col("b")).alias("equal"))
 
 
 # --- strings: brand and type are an image, part names its texts ----------------
@@ -123,7 +124,7 @@ def _match(body: str) -> str:
 round(char_edits / gt_chars, 6) AS cer, round(exact / n_gt, 6) AS exact_match, round(matched_pred / n_pred, 6) AS precision, round(found / n_gt, 6) AS recall,
 round(2 * (matched_pred / n_pred) * (found / n_gt) / (matched_pred / n_pred + found / n_gt), 6) AS f1 FROM sc"""))
 def strings(s: Source):
-    out = string_scores(s.sql(STRING_GT), s.sql(STRING_PRED))
+    out = string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))
     return out.select("run_id", "char_edits", "gt_chars", "exact", "found", "n_gt", "matched_pred", "n_pred", "evaluated_images",
                       *r6("cer", "exact_match", "precision", "recall", "f1"))
 
@@ -131,18 +132,18 @@ def strings(s: Source):
 @query("string_word_errors")
 def word_errors(s: Source):
     """Word edit distances have no counterpart in the checker's dialect."""
-    return string_scores(s.sql(STRING_GT), s.sql(STRING_PRED)).select("run_id", "word_edits", "gt_words", *r6("wer"))
+    return string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True)).select("run_id", "word_edits", "gt_words", *r6("wer"))
 
 
 @query("string_detail", _match("SELECT run_id, image, gt_idx, text, match, found, round(least(dist, chars) / greatest(1, chars), 6) AS cer FROM m"))
 def truth_detail(s: Source):
-    return string_detail(s.sql(STRING_GT), s.sql(STRING_PRED))[0].select("run_id", "image", "gt_idx", "text", "match", "found", *r6("cer"))
+    return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))[0].select("run_id", "image", "gt_idx", "text", "match", "found", *r6("cer"))
 
 
 @query("string_extras", _match("""SELECT p.run_id, p.image, p.pred_idx, p.text, m.pred_idx IS NOT NULL AS matched FROM preds p
 LEFT JOIN m ON m.run_id = p.run_id AND m.image = p.image AND m.pred_idx = p.pred_idx AND m.found"""))
 def extras(s: Source):
-    return string_detail(s.sql(STRING_GT), s.sql(STRING_PRED))[1]
+    return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))[1]
 
 
 # --- whole pages: a document against its neighbour, a chat's two sides ----------
@@ -174,13 +175,13 @@ def _bags(body: str, gt: str = PAGE_GT, pred: str = PAGE_PRED) -> str:
 
 @query("word_overlap_documents", _bags("SELECT * FROM bag"))
 def page_words(s: Source):
-    return word_overlap(s.sql(PAGE_GT), s.sql(PAGE_PRED))
+    return word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True))
 
 
 @query("word_coverage_documents", _bags("""SELECT run_id, count(*) AS evaluated_images, CAST(sum(n_gt_words) AS BIGINT) AS n_gt_words, CAST(sum(matched_words) AS BIGINT) AS matched_words,
 round(sum(matched_words) / sum(n_gt_words), 6) AS word_coverage, round(sum(matched_words) / sum(n_pred_words), 6) AS word_precision FROM bag GROUP BY run_id"""))
 def page_coverage(s: Source):
-    out = word_overlap(s.sql(PAGE_GT), s.sql(PAGE_PRED)).groupBy("run_id").agg(
+    out = word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True)).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("evaluated_images"), *[F.sum(c).alias(c) for c in ("n_gt_words", "n_pred_words", "matched_words")])
     return out.select("run_id", "evaluated_images", "n_gt_words", "matched_words", F.round(F.col("matched_words") / F.col("n_gt_words"), 6).alias("word_coverage"),
                       F.round(F.col("matched_words") / F.col("n_pred_words"), 6).alias("word_precision"))
@@ -188,36 +189,36 @@ def page_coverage(s: Source):
 
 @query("word_overlap_chats", _bags("SELECT * FROM bag", CHAT_GT, CHAT_PRED))
 def chat_words(s: Source):
-    return word_overlap(s.sql(CHAT_GT), s.sql(CHAT_PRED))
+    return word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
 
 
 @query("token_flags", _bags("""SELECT s.run_id, g.image, g.gt_idx, g.pos, g.token,
 row_number() OVER (PARTITION BY s.run_id, g.image, g.token ORDER BY g.gt_idx, g.pos) <= coalesce(p.cp, 0) AS matched
 FROM gtok g JOIN seen s USING (image) LEFT JOIN pc p ON p.run_id = s.run_id AND p.image = g.image AND p.token = g.token""", CHAT_GT, CHAT_PRED))
 def flags(s: Source):
-    return token_flags(s.sql(CHAT_GT), s.sql(CHAT_PRED))
+    return token_flags(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
 
 
 @query("tokens", with_inputs(f"SELECT image, gt_idx, array_to_string({TOKENS}, ' ') AS tokens FROM gt", gt=PAGE_GT))
 def token_rows(s: Source):
-    return s.sql(PAGE_GT).select("image", "gt_idx", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
+    return s.sql(PAGE_GT, heavy=True).select("image", "gt_idx", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("fold_text", with_inputs(f"SELECT image, trim(regexp_replace(lower(text), '{_WS}', ' ', 'g')) AS norm FROM gt", gt=PAGE_GT))
 def folded(s: Source):
-    return s.sql(PAGE_GT).select("image", fold(F.col("text")).alias("norm"))
+    return s.sql(PAGE_GT, heavy=True).select("image", fold(F.col("text")).alias("norm"))
 
 
 @query("char_overlap_documents")
 def page_chars(s: Source):
     """Longest common subsequence over whole pages; tested against a table method."""
-    return char_overlap(s.sql(PAGE_GT), s.sql(PAGE_PRED))
+    return char_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True))
 
 
 @query("whole_text_scores")
 def whole(s: Source):
     """Word and character coverage with the string metrics, per run."""
-    out = whole_text_scores(s.sql(CHAT_GT), s.sql(CHAT_PRED))
+    out = whole_text_scores(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
     return out.select("run_id", "evaluated_images", "n_gt_words", "n_pred_words", "matched_words", "lcs", "gt_chars",
                       *r6("word_coverage", "char_coverage", "word_precision", "cer", "wer", "exact_match"))
 
@@ -229,6 +230,6 @@ APPROACHES = """SELECT CASE turn % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'crop' ELSE
 round(max(c) FILTER (run_id = 'crop'), 6) AS crop, round(max(c) FILTER (run_id = 'gtcrop') - max(c) FILTER (run_id = 'crop'), 6) AS detection_cost,
 arg_max(run_id, (c, run_id)) AS best_approach FROM (SELECT run_id, sum(matched_words) / sum(n_gt_words) AS c FROM bag GROUP BY run_id) AS q""", CHAT_GT, APPROACHES))
 def cost(s: Source):
-    per_run = word_overlap(s.sql(CHAT_GT), s.sql(APPROACHES)).groupBy("run_id").agg((F.sum("matched_words") / F.sum("n_gt_words")).alias("word_coverage"))
+    per_run = word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(APPROACHES, heavy=True)).groupBy("run_id").agg((F.sum("matched_words") / F.sum("n_gt_words")).alias("word_coverage"))
     out = detection_cost(per_run.select(F.lit("ocr").alias("ocr_model"), F.col("run_id").alias("approach"), "word_coverage"))
     return out.select("ocr_model", *r6("full", "gtcrop", "crop", "detection_cost"), "best_approach")

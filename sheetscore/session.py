@@ -50,3 +50,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A folder of this name beside the checkpoints, where every executor can write."""
     _checkpoint_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores, dealt out to all of them.
+
+    For row-wise work that is heavy for its bytes. Tables of many files have
+    splits enough and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits < cores else scan
