@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import exact_round, f1, ratio
 from ..functions.boxes import CORNERS
 from .assign import greedy_box_match
+from .groups import small_table
 from .overlap import argmax_box_match
 from .prefix import MAX_WINDOW_ROWS, ordered
 
@@ -32,7 +33,8 @@ def top_predictions(pred: DataFrame, k: int = OVERLAY_TOP, min_score: float = OV
 
 
 def truth_counts(gt: DataFrame) -> DataFrame:
-    return gt.groupBy("class").agg(F.count(F.lit(1)).alias("n_gt"))
+    """Boxes per class: one row per object class."""
+    return small_table(gt.groupBy("class").agg(F.count(F.lit(1)).alias("n_gt")))
 
 
 def curve(marks: DataFrame, n_gt: DataFrame, max_rows: int = MAX_WINDOW_ROWS, counted: DataFrame | None = None) -> DataFrame:
@@ -42,7 +44,7 @@ def curve(marks: DataFrame, n_gt: DataFrame, max_rows: int = MAX_WINDOW_ROWS, co
         cum_tp=F.col("is_tp").cast("long"), cum_n=F.lit(1).cast("long")
     )
     steps = steps.max_from_here("envelope", F.col("cum_tp") / F.col("cum_n"), "cum_n").done()
-    return steps.join(F.broadcast(n_gt), "class").withColumns(
+    return steps.join(n_gt, "class").withColumns(
         {
             "cum_fp": F.col("cum_n") - F.col("cum_tp"),
             "precision": F.col("cum_tp") / F.col("cum_n"),
@@ -70,7 +72,7 @@ def detection_scores(marks: DataFrame, pred: DataFrame, gt: DataFrame, conf: flo
         # the first row in curve order that reaches the maximum
         F.max_by("score", F.struct("f1", (-F.col("cum_n")).alias("early"))).alias("best_conf"),
     )
-    counted = pred.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("n_pred")).join(F.broadcast(n_gt), "class")
+    counted = pred.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("n_pred")).join(n_gt, "class")
     zero = F.lit(0).cast("long")
     out = counted.join(scored, CURVE, "left").select(
         *CURVE,

@@ -65,3 +65,11 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it is counted to be small; else as it is."""
     return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def small_table(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A short summary brought over once and broadcast; beyond `rows` it stays a plain table."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
