@@ -275,8 +275,8 @@ def tiles(s: Source):
 
 
 # tile boxes: every line is seen by the first two tiles of its image; the whole picture sees the class tables again
-TILE_BOXES = f"""SELECT 'r' AS run_id, image, class, t.tile_idx, idx * 2 + t.tile_idx AS pred_idx, x + t.tile_idx AS x1, y AS y1, x + w AS x2, y + h AS y2, score
-FROM ({BASE}) AS b CROSS JOIN (SELECT 0 AS tile_idx UNION ALL SELECT 1 AS tile_idx) AS t"""
+TILE_BOXES = f"""SELECT 'r' AS run_id, image, class, tile_idx, idx * 2 + tile_idx AS pred_idx, x + tile_idx AS x1, y AS y1, x + w AS x2, y + h AS y2, score
+FROM (SELECT *, EACH(0, 1) AS tile_idx FROM ({BASE}) AS b) AS t"""
 FULL_BOXES = f"SELECT 'r' AS run_id, image, class, idx AS pred_idx, x AS x1, y AS y1, x + w AS x2, y + h AS y2, 0.5 AS score FROM ({BASE}) AS b"
 
 

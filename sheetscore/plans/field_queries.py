@@ -25,18 +25,17 @@ FROM {orders}
 """
 # three modes; the first result of some images is an error and the next one counts
 RESULTS = """
-SELECT 'r1' AS run_id, m.mode, CAST(o_orderkey AS STRING) AS image, k.seq,
-       CASE WHEN o_orderkey % 50 = 0 AND k.seq = 1 THEN 'timeout' ELSE NULL END AS error,
-       CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_totalprice * (1 + (o_orderkey % 5 - 1) * m.scale / 100) END AS price,
-       CASE WHEN (o_orderkey + k.seq) % 17 = 0 THEN NULL ELSE CAST((o_custkey + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) % 5 AS STRING) END AS h1,
+SELECT 'r1' AS run_id, mode, CAST(o_orderkey AS STRING) AS image, seq,
+       CASE WHEN o_orderkey % 50 = 0 AND seq = 1 THEN 'timeout' ELSE NULL END AS error,
+       CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_totalprice * (1 + (o_orderkey % 5 - 1) * scale / 100) END AS price,
+       CASE WHEN (o_orderkey + seq) % 17 = 0 THEN NULL ELSE CAST((o_custkey + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) % 5 AS STRING) END AS h1,
        CAST(o_custkey % 7 AS STRING) AS h2, CAST(o_orderkey % 3 AS STRING) AS h3,
        CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 = 1 THEN 'unknown' ELSE CONCAT(' ', LOWER(o_orderpriority), '  ') END AS priority,
-       CASE WHEN o_custkey % 8 = 0 THEN 'none' ELSE CAST(o_custkey + k.seq - 1 AS STRING) END AS customer,
-       CASE WHEN o_orderkey % 3 = m.scale THEN o_orderstatus ELSE NULL END AS status,
+       CASE WHEN o_custkey % 8 = 0 THEN 'none' ELSE CAST(o_custkey + seq - 1 AS STRING) END AS customer,
+       CASE WHEN o_orderkey % 3 = scale THEN o_orderstatus ELSE NULL END AS status,
        o_custkey AS tokens_in, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 500 END AS tokens_out
-FROM {orders}
-CROSS JOIN (SELECT 'whole_image' AS mode, 1 AS scale UNION ALL SELECT 'whole_image_ocr' AS mode, 0 AS scale UNION ALL SELECT 'cropped_ocr' AS mode, 2 AS scale) AS m
-CROSS JOIN (SELECT 1 AS seq UNION ALL SELECT 2 AS seq) AS k
+FROM (SELECT *, CASE mode WHEN 'whole_image' THEN 1 WHEN 'whole_image_ocr' THEN 0 ELSE 2 END AS scale
+      FROM (SELECT *, EACH('whole_image', 'whole_image_ocr', 'cropped_ocr') AS mode FROM (SELECT *, EACH(1, 2) AS seq FROM {orders}) AS a) AS b) AS c
 """
 
 

@@ -22,6 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# EACH(a, b) makes one row per listed constant; both dialects have a generator for it.
+EACH = re.compile(r"EACH\(([^()]*)\)")
+
+
 class Source:
     """Tables of one folder, and relations derived from them by SQL."""
 
@@ -35,12 +39,13 @@ class Source:
     def sql(self, text: str, heavy: bool = False) -> DataFrame:
         """`heavy` inputs are dealt out to all cores before the row-wise work on them."""
         used = {n for n in re.findall(r"\{(\w+)\}", text)}
+        text = EACH.sub(r"explode(array(\1))", text)
         return self.spark.sql(text, **{n: spread(self.table(n)) if heavy else self.table(n) for n in used})
 
 
 def plain(sql: str) -> str:
     """The same text for the checker, where tables go by their own name."""
-    return sql.format(**{t: t for t in TABLES})
+    return EACH.sub(r"unnest([\1])", sql).format(**{t: t for t in TABLES})
 
 
 def with_inputs(body: str, recursive: bool = False, **inputs: str) -> str:
