@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare
+from .common import prepare, shared_folder
 from .line_dedup import line_dedup
+from .packing import pack_documents
 from .simhash import simhash_groups
+from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +68,15 @@ def op1(docs, read):
 @query("op10_simhash", "documents")
 def op10(docs, read):
     return simhash_groups(docs)
+
+
+@query("op3_best_fit_packing", "documents")
+def op3(docs, read):
+    return pack_documents(docs)
+
+
+@query("op5_token_files", "documents")
+def op5(docs, read):
+    folder = shared_folder(docs.sparkSession)
+    write_token_files(docs, folder)
+    return read_token_files(docs.sparkSession, folder, with_ids=False)

@@ -142,8 +142,8 @@ def thresholds(values: list[np.ndarray], widths: list[int], sketch: np.ndarray,
     return best[want][1]
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A forest with the same components as the links (a, b)."""
+def spanning(fp: np.ndarray, node: np.ndarray, first: int, radius: int, chunk: int = 128) -> list[tuple[int, int]]:
+    """A forest with the components of all links between the entries before `first` and the probes from it on."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -151,10 +151,11 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
+    for at in range(first, len(fp), chunk):
+        a, b = np.nonzero(np.bitwise_count((fp[at : at + chunk, None] ^ fp[None, :first]).view(np.uint64)) <= radius)
+        for x, y in zip(node[at + a].tolist(), node[b].tolist()):
+            if x != y and (x := find(x)) != (y := find(y)):
+                parent[max(x, y)] = min(x, y)
     return [(x, r) for x in list(parent) if (r := find(x)) != x]
 
 
@@ -209,12 +210,10 @@ def links(nodes: DataFrame, radius: int = 2, partitions: int | None = None, buck
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi - lo < 2 or probe[lo] or not probe[hi - 1]:
                     continue
-                first = lo + int(np.searchsorted(probe[lo:hi], True))
-                x, y = np.nonzero(np.bitwise_count((fp[first:hi, None] ^ fp[None, lo:first]).view(np.uint64)) <= radius)
-                x, y = node[first + x], node[lo + y]
-                for p, q in spanning(x[x != y], y[x != y]):
-                    a.append(p)
-                    b.append(q)
+                first = int(np.searchsorted(probe[lo:hi], True))
+                for x, y in spanning(fp[lo:hi], node[lo:hi], first, radius):
+                    a.append(x)
+                    b.append(y)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     pairs = usual.repartition("key").sortWithinPartitions("key", "probe").mapInArrow(verified, "a long, b long")
