@@ -10,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import configure
 
-# Rows of an Arrow batch that holds whole texts.
-TEXT_BATCH = 256
+# Rows of an Arrow batch: of whole texts, and of a few numbers each.
+TEXT_BATCH, NUMBER_BATCH = 256, 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,11 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df` as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
-    folder = shared_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def written(df: DataFrame, codec: str = "zstd", batch: int = TEXT_BATCH) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing.
+
+    batch: rows of the Arrow batches in this write; the caller knows whether they hold texts.
+    """
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df.write.option("compression", codec).parquet(folder)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -56,11 +65,8 @@ def text_bytes(name: str = "text") -> Column:
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow by a function from one batch to a dict of columns (None: no rows)."""
-    names = [part.split()[0] for part in schema.split(",")]
-    empty = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(empty)
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+    names = target.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
     A round's edges are written to the shared folder. Rounds grow with the logarithm of the size.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    now = written(edges.filter("a <> b").select(most.alias("a"), least.alias("b")).distinct())
+    now = written(edges.filter("a <> b").select(most.alias("a"), least.alias("b")).distinct(), batch=NUMBER_BATCH)
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -10,6 +10,7 @@ from .common import prepare, shared_folder
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,8 @@ def op5(docs, read):
     folder = shared_folder(docs.sparkSession)
     write_token_files(docs, folder)
     return read_token_files(docs.sparkSession, folder, with_ids=False)
+
+
+@query("op2_suffix_dedup", "documents")
+def op2(docs, read):
+    return suffix_dedup(docs).drop("spans")

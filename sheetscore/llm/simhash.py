@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import checked_broadcast
-from .common import arrow_map, components, runs, text_bytes, whole_groups, written
+from .common import NUMBER_BATCH, arrow_map, components, runs, text_bytes, whole_groups, written
 
 BITS = 64
 CELLS = 1 << 16  # of the count sketch, per partition
@@ -196,7 +196,7 @@ def links(nodes: DataFrame, radius: int = 2, partitions: int | None = None, buck
         return {"key": np.concatenate(key), "probe": np.concatenate(probe), "fp": fps[who], "node": node[who]}
 
     rows = arrow_map(nodes.select("fp", "node"), entries, "key long, probe boolean, fp long, node long")
-    large = written(rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key"))
+    large = written(rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key"), batch=NUMBER_BATCH)
     usual, found = rows, None
     if large.take(1):
         large = checked_broadcast(large)
@@ -245,7 +245,7 @@ def simhash_groups(
     gives no rows; other columns of `docs` are not read.
     """
     fps = written(fingerprints(docs, words))
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), batch=NUMBER_BATCH)
     roots = components(links(nodes, radius, partitions, bucket_rows))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
