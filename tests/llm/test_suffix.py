@@ -83,7 +83,7 @@ def test_multikey_sort():
 
 def test_empty_table_extra_columns_and_kept_bytes(spark):
     assert sd.suffix_dedup(table(spark, [])).count() == 0
-    text = "".join(random.Random(2).choice("abcdefgh") for _ in range(150))
+    text = "".join(random.Random(2).choices("abcdefgh", k=150))
     docs = table(spark, [text, text + "!"])
     for c in ("key", "first", "last", "n", "spans", "open", "content", "place", "bucket"):
         docs = docs.withColumn(c, F.lit("x"))
