@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare, shared_folder
+from .decontaminate import contaminated
+from .language import identify, train
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .simhash import simhash_groups
@@ -86,3 +88,13 @@ def op5(docs, read):
 @query("op2_suffix_dedup", "documents")
 def op2(docs, read):
     return suffix_dedup(docs).drop("spans")
+
+
+@query("op6_language", "documents")
+def op6(docs, read):
+    return identify(docs, train(docs))
+
+
+@query("op8_decontamination", "documents")
+def op8(docs, read):
+    return contaminated(docs, read("benchmark"))

@@ -130,8 +130,10 @@ def later_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, content: li
     size = np.diff(runs(h[by_hash]))
     pick = np.repeat(size > 1, size)
     some, group = by_hash[pick], np.repeat(np.arange(len(size)), size)[pick]
+    if not len(some):
+        return doc[:0], start[:0]
     order, rank = multikey_sort(data, at[some], group, width)
-    later = some[order[np.concatenate(([False], rank[1:] == rank[:-1]))[: len(order)]]]
+    later = some[order[np.concatenate(([False], rank[1:] == rank[:-1]))]]
     return doc[row[later]], start[row[later]] + step[later]
 
 
