@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
+from .urls import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +99,8 @@ def op6(docs, read):
 @query("op8_decontamination", "documents")
 def op8(docs, read):
     return contaminated(docs, read("benchmark"))
+
+
+@query("op9_url_verdicts", "pages")
+def op9(docs, read):
+    return url_verdicts(docs).drop("words")
