@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, shared_folder
 from .decontaminate import contaminated
 from .language import identify, train
+from .licenses import license_scan
 from .line_dedup import line_dedup
 from .packing import pack_documents
 from .simhash import simhash_groups
@@ -104,3 +105,8 @@ def op8(docs, read):
 @query("op9_url_verdicts", "pages")
 def op9(docs, read):
     return url_verdicts(docs).drop("words")
+
+
+@query("op4_license_scan", "documents")
+def op4(docs, read):
+    return license_scan(docs)
