@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .language import identify, train
 from .licenses import license_scan
 from .line_dedup import line_dedup
+from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
@@ -110,3 +111,8 @@ def op9(docs, read):
 @query("op4_license_scan", "documents")
 def op4(docs, read):
     return license_scan(docs)
+
+
+@query("op7_nearest_neighbours", "embeddings")
+def op7(rows, read):
+    return nearest_neighbours(rows)
