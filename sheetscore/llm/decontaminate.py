@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .suffix_dedup import gram_hashes
 
-Q, ERROR_RATE = 6, 0.1
+Q, ERROR_RATE = 8, 0.1
 BLOCK_CHARS = 2_000_000  # of benchmark text in one pass, about
 HITS_AT_ONCE = 1_000_000
 FILTER_BITS = 22
@@ -86,15 +86,17 @@ class Index:
             return self.bands(at[left], key[left]) | self.bands(at[right], key[right])
         post = np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, place = self.item[post], self.place[post]
-        band = (np.repeat(at, n) - place) // (self.edits[item] + 1)
-        item, place, band = np.tile(item, 2), np.tile(place, 2), np.concatenate([band, band - 1])
-        order = np.lexsort((place, band, item))
-        item, place, band = item[order], place[order], band[order]
-        new = np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
-        once = new | np.concatenate(([True], place[1:] != place[:-1]))  # a q-gram of the item counts once in a band
-        first = np.flatnonzero(new)
-        enough = first[np.add.reduceat(once.astype(np.int64), first) >= self.need[item[first]]]
-        return set(zip(item[enough].tolist(), band[enough].tolist()))
+        half = (np.repeat(at, n) - place) // (self.edits[item] + 1)
+        # band b is the halves b and b + 1; if half b is empty, band b + 1 holds all that band b does
+        own = (item << 34) + half + (1 << 33)
+        kinds, count = np.unique(own, return_counts=True)
+        following = np.append((kinds[1:] == kinds[:-1] + 1) * count[1:], 0)
+        found = set()
+        for kind in kinds[count + following >= self.need[kinds >> 34]].tolist():
+            inside = (own == kind) | (own == kind + 1)
+            if len(np.unique(place[inside])) >= self.need[kind >> 34]:  # a q-gram of the item counts once
+                found.add((kind >> 34, (kind & ((1 << 34) - 1)) - (1 << 33)))
+        return found
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, first, last, edits) of regions within the edit budget; places in the normal form."""
@@ -107,7 +109,8 @@ class Index:
         found: dict[int, list[tuple[int, int, int]]] = {}
         for item, band in sorted(self.bands(at, key)):
             e = int(self.edits[item])
-            edits, last = align(self.text[item], code, band * (e + 1), 2 * (e + 1))
+            # where only the first half holds q-grams, the way of the edits may begin in the half before
+            edits, last = align(self.text[item], code, band * (e + 1) - e, 2 * (e + 1) + e, most=e)
             if edits > e:
                 continue
             back, length = align(self.text[item][::-1], code[:last][::-1][: len(self.text[item]) + e], -e, 2 * e + 1, anchored=True)
@@ -122,30 +125,35 @@ class Index:
         return out
 
 
-def align(item: np.ndarray, text: np.ndarray, diagonal: int, width: int, anchored: bool = False) -> tuple[int, int]:
+def align(item: np.ndarray, text: np.ndarray, diagonal: int, width: int, anchored: bool = False, most: int = NEVER) -> tuple[int, int]:
     """(fewest edits, where it ends) of the whole item against a part of the text, inside a band of diagonals.
 
     The part may start anywhere in the band, or at the start of the text if `anchored`. Of ends with equal
-    edits the first counts.
+    edits the first counts. Given up, with some number above it, beyond `most` edits.
     """
-    step = np.arange(width + 1)
+    n, step = len(item), np.arange(width + 1)
+    # outside the text stand characters that equal none: using one up never beats leaving one of the item out
+    low, high = diagonal, diagonal + n + width
+    part = np.full(high - low, -1, np.int64)
+    a, b = max(low, 0), min(high, len(text))
+    if a < b:
+        part[a - low : b - low] = text[a:b]
     j = diagonal + step  # characters of the text used so far, in this row
-    row = np.where((j == 0) if anchored else (j >= 0) & (j <= len(text)), 0, NEVER)
-    if anchored:
-        row = np.where(j > 0, j, row)
-        row[j > len(text)] = NEVER
-    padded = np.concatenate((text, [0])).astype(np.int64)
-    for i, c in enumerate(item.tolist(), 1):
-        j = diagonal + i + step
-        diag = row + (padded[np.clip(j - 1, 0, len(text))] != c)
-        down = np.append(row[1:], NEVER) + 1
-        row = np.minimum(diag, down)
-        row = np.where((j < 0) | (j > len(text)), NEVER, row)
-        row[(j == 0)] = np.minimum(row[(j == 0)], NEVER) if not anchored else i
-        row = np.minimum.accumulate(row - step) + step
-        row = np.where((j < 0) | (j > len(text)), NEVER, row)
+    row = np.where(j < 0, NEVER, j) if anchored else np.zeros(width + 1, np.int64)
+    down = np.full(width + 1, NEVER)
+    for i, c in enumerate(item.tolist()):
+        np.add(row[1:], 1, out=down[:-1])
+        row = np.minimum(row + (part_before(part, i, width) != c), down) - step
+        row = np.minimum.accumulate(row) + step
+        if i & 15 == 15 and row.min() > most:
+            return most + 1, 0
     best = int(np.argmin(row))
-    return int(min(row[best], NEVER)), int(diagonal + len(item) + best)
+    return int(row[best]), min(max(0, diagonal + n + best), len(text))
+
+
+def part_before(part: np.ndarray, i: int, width: int) -> np.ndarray:
+    """The character before each place of row i + 1."""
+    return part[i : i + width + 1]
 
 
 def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
