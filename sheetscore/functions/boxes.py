@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ def iou(a, b, eps: float = 0.0) -> Column:
     return F.when(union > 0, inter / union).otherwise(zero)
 
 
+def can_match(b) -> Column:
+    """A box that may overlap others: four finite corners, width and height above zero."""
+    finite = [b[c].isNotNull() & ~F.isnan(b[c]) & (F.abs(b[c]) < float("inf")) for c in CORNERS]
+    return F.coalesce(reduce(Column.__and__, finite) & (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), F.lit(False))
+
+
+def overlapping(a, b, thr: float, eps: float = 0.0) -> Column:
+    """The overlap of two boxes that may match and reach `thr`, else NULL: the one rule of every plan."""
+    if not 0 < thr <= 1:
+        raise ValueError(f"an overlap threshold lies above 0 and up to 1, not at {thr}")
+    value = iou(a, b, eps)
+    return F.when(can_match(a) & can_match(b) & (value >= thr), value)
+
+
 def has_box(bbox: Column) -> Column:
     """Any coordinate other than zero."""
     return F.coalesce(F.exists(bbox, lambda v: v != 0), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,10 +90,12 @@ def word_distance(a: Column, b: Column) -> Column:
     surrogate block; UTF-32 covers every code point.
     """
     vocabulary = F.array_distinct(F.concat(a, b))
+    last = 0x10FFFF - 0x4E00 - 0x800  # beyond it no character is left, and equal ones would lie
 
     def letter(w: Column) -> Column:
         n = F.array_position(vocabulary, w) + F.lit(0x4E00)
         n = F.when(n >= 0xD800, n + 0x800).otherwise(n)
+        n = F.when(F.size(vocabulary) > last, F.raise_error(F.lit("too many different words in one pair"))).otherwise(n)
         return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
     return F.when(a == b, F.lit(0)).otherwise(
@@ -101,6 +105,14 @@ def word_distance(a: Column, b: Column) -> Column:
 
 def _common_length(a: str, b: str) -> int:
     """Bit-parallel longest common subsequence: one big-integer step per character."""
+    if a == b:
+        return len(a)
+    start = len(os.path.commonprefix([a, b]))
+    end = len(os.path.commonprefix([a[start:][::-1], b[start:][::-1]]))
+    if start or end:
+        return start + end + _common_length(a[start : len(a) - end], b[start : len(b) - end])
+    if not a or not b:
+        return 0
     if len(b) > len(a):
         a, b = b, a
     places: dict[str, int] = {}
@@ -150,7 +162,7 @@ def crop_source_name(tag: Column) -> Column:
     return (
         F.when(tag == "crop", "default")
         .when(tag == "gtcrop", "gt")
-        .when(tag.startswith("crop-"), F.substring(tag, 6, 1_000_000))
+        .when(tag.startswith("crop-"), F.substr(tag, F.lit(6)))
     )
 
 

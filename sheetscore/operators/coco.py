@@ -47,14 +47,29 @@ def keep_labels(df: DataFrame, *names: str) -> DataFrame:
     return df.filter(F.lower(F.trim("label")).isin(*(names or ("table",))))
 
 
+def label_path(file_name: Column) -> Column:
+    return F.concat(F.regexp_extract(file_name, r"^(.*/)?", 0), stem(file_name))
+
+
+def label_files(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """(label_path, text) of every picture, lines by box id; a picture without boxes has an empty file."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda r: r["line"])
+    text = yolo_rows(images, annotations, categories).groupBy("label_path").agg(F.array_join(lines, "\n").alias("text"))
+    paths = images.select(label_path(F.col("file_name")).alias("label_path")).distinct()
+    return paths.join(text, "label_path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def yolo_rows(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One label line per box with a positive size -> (stem, id, line)."""
+    """One label line per box with a positive size -> (stem, label_path, id, line).
+
+    label_path is the picture's path without its extension: pictures of one name in two folders stay apart.
+    """
     index = checked_broadcast(class_index(categories).select(F.col("id").alias("category_id"), "class_index"))
-    sized = images.select(F.col("id").alias("image_id"), stem(F.col("file_name")).alias("stem"), "width", "height")
+    sized = images.select(F.col("id").alias("image_id"), stem(F.col("file_name")).alias("stem"), label_path(F.col("file_name")).alias("label_path"), "width", "height")
     real = annotations.filter((F.col("bbox")[2] > 0) & (F.col("bbox")[3] > 0))
     rows = real.join(index, "category_id").join(sized, "image_id")
     shares = yolo_box(F.col("bbox"), F.col("width"), F.col("height"))
-    return rows.select("stem", "id", F.concat_ws(" ", F.col("class_index").cast("string"), *[fixed(c, 6) for c in shares]).alias("line"))
+    return rows.select("stem", "label_path", "id", F.concat_ws(" ", F.col("class_index").cast("string"), *[fixed(c, 6) for c in shares]).alias("line"))
 
 
 def coco_documents(images: DataFrame, boxes: DataFrame, categories: DataFrame, boxes_per_document: int = 50_000) -> DataFrame:

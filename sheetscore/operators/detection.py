@@ -17,7 +17,6 @@ CURVE = ["run_id", "class"]
 CONF = 0.25
 OVERLAY_MIN_SCORE = 0.05
 OVERLAY_TOP = 120
-MAX_DETECTIONS = 1000
 EPS = 1e-6
 
 

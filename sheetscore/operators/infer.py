@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DETECTED = "pred_idx int, label int, x1 double, y1 double, x2 double, y2 double, score double"
+READ = "read_idx int, text string, confidence double"
 
 
 def predict_batches(images: DataFrame, load: Callable[[], Callable], keep: list[str], conf: float = 0.001, imgsz: int = 640) -> DataFrame:
@@ -39,20 +40,24 @@ def predict_batches(images: DataFrame, load: Callable[[], Callable], keep: list[
     return images.mapInPandas(run, schema)
 
 
+def _read_rows(batch: pd.DataFrame, read: Callable, keep: list[str], schema: T.StructType) -> pd.DataFrame:
+    rows = batch.to_dict("records")
+    out = [
+        (*[row[c] for c in keep], i, text, float(conf))
+        for row, lines in zip(rows, read(rows))
+        for i, (text, conf) in enumerate(lines)
+    ]
+    return pd.DataFrame(out, columns=schema.names)
+
+
 def read_batches(crops: DataFrame, load: Callable[[], Callable], keep: list[str]) -> DataFrame:
     """Reader contract: read(rows) -> [[(text, confidence), ...]] per row."""
-    schema = T.StructType([*[crops.schema[c] for c in keep], *T.StructType.fromDDL("read_idx int, text string, confidence double")])
+    schema = T.StructType([*[crops.schema[c] for c in keep], *T.StructType.fromDDL(READ)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = load()
         for batch in batches:
-            rows = batch.to_dict("records")
-            out = [
-                (*[row[c] for c in keep], i, text, float(conf))
-                for row, lines in zip(rows, read(rows))
-                for i, (text, conf) in enumerate(lines)
-            ]
-            yield pd.DataFrame(out, columns=schema.names)
+            yield _read_rows(batch, read, keep, schema)
 
     return crops.mapInPandas(run, schema)
 
@@ -76,13 +81,29 @@ def extract_batches(prompts: DataFrame, load: Callable[[], Callable], keep: list
     return prompts.mapInPandas(run, schema)
 
 
-def route_by_class(crops: DataFrame, readers: dict[str, Callable[[], Callable]], keep: list[str]) -> DataFrame:
-    """One reader per region class; the parts are put together again."""
-    out = None
-    for cls, load in readers.items():
-        part = read_batches(crops.filter(F.col("class") == cls), load, keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+def route_by_class(
+    crops: DataFrame, readers: dict[str, Callable[[], Callable]], keep: list[str], default: Callable[[], Callable] | None = None
+) -> DataFrame:
+    """Each crop to the reader of its class, all in one pass; other classes, and none, to `default`.
+
+    Without a default, a crop of another class is an error: nothing is left out.
+    """
+    schema = T.StructType([*[crops.schema[c] for c in keep], *T.StructType.fromDDL(READ)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded: dict[str | None, Callable] = {}
+        for batch in batches:
+            route = batch["class"].where(batch["class"].isin(list(readers)), None)
+            for cls, part in batch.groupby(route, dropna=False, sort=False):
+                cls = cls if cls in readers else None
+                load = default if cls is None else readers[cls]
+                if load is None:
+                    raise ValueError(f"no reader for class {part['class'].iloc[0]}")
+                if cls not in loaded:
+                    loaded[cls] = load()
+                yield _read_rows(part, loaded[cls], keep, schema)
+
+    return crops.mapInPandas(run, schema)
 
 
 def reader_for(cls: Column, routes: dict[str, str], default: str) -> Column:

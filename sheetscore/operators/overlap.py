@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import CORNERS, iou
+from ..functions.boxes import CORNERS, can_match, overlapping
 from .groups import MAX_CELLS, MAX_ROWS, checked_broadcast, oversized_pairs
 
 KEYS = ("run_id", "image", "class")
@@ -32,16 +32,17 @@ def _grid_join(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> DataF
     all size classes that such a partner can sit in. Each pair meets once.
     """
     near = math.ceil(math.log2(1 / thr)) if thr < 1 else 0
+    p, t = p.filter(can_match(F.col("p"))), t.filter(can_match(F.col("t")))
 
     def axis(b: str, lo: str, hi: str) -> tuple[Column, Column]:
         return F.col(f"{b}.{hi}") - F.col(f"{b}.{lo}"), (F.col(f"{b}.{hi}") + F.col(f"{b}.{lo}")) / 2
 
     for name, lo, hi in (("x", "x1", "x2"), ("y", "y1", "y2")):
         side, centre = axis("p", lo, hi)
-        p = p.filter(side > 0).withColumn(f"_l{name}", _level(side))
+        p = p.withColumn(f"_l{name}", _level(side))
         p = p.withColumn(f"_c{name}", F.floor(centre / F.pow(F.lit(2.0), F.col(f"_l{name}") + 1)))
         side, centre = axis("t", lo, hi)
-        t = t.filter(side > 0).withColumn(
+        t = t.withColumn(
             f"_l{name}", F.explode(F.sequence(_level(side) - near, _level(side) + near))
         )
         cell = F.pow(F.lit(2.0), F.col(f"_l{name}") + 1)
@@ -51,7 +52,7 @@ def _grid_join(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> DataF
         )
     cells = ["_lx", "_ly", "_cx", "_cy"]
     joined = p.join(t, [*keys, *cells])
-    return joined.filter(iou(F.col("p"), F.col("t")) >= thr).select(*keys, "p", "t")
+    return joined.filter(overlapping(F.col("p"), F.col("t"), thr).isNotNull()).select(*keys, "p", "t")
 
 
 def iou_join(
@@ -62,15 +63,15 @@ def iou_join(
     keys = list(keys)
     t_keys = [k for k in keys if k in t.columns]
     big = oversized_pairs(p, t, keys, t_keys, max_rows, max_cells)
-    overlap = iou(F.col("p"), F.col("t"))
+    overlap = overlapping(F.col("p"), F.col("t"), thr)
     if big is None:
-        pairs = p.join(t, t_keys).filter(overlap >= thr)
+        pairs = p.join(t, t_keys).filter(overlap.isNotNull())
     else:
         big_keys = checked_broadcast(big[0])
         pairs = (
             p.join(big_keys, keys, "left_anti")
             .join(t, t_keys)
-            .filter(overlap >= thr)
+            .filter(overlap.isNotNull())
             .select(*keys, "p", "t")
             .unionByName(_grid_join(p.join(big_keys, keys, "left_semi"), t.join(big_keys, t_keys), keys, thr))
         )
@@ -106,8 +107,8 @@ def _best_small(pred: DataFrame, gt: DataFrame, thr: float, keys: list[str], t_k
     """The truth boxes of an image travel as one array; the rest stays where that join put it."""
     boxes = gt.groupBy(*t_keys).agg(F.collect_list(_box(gt, "t", "gt_idx")).alias("_ts"))
     box = F.struct(*CORNERS)
-    choice = F.transform("_ts", lambda t: F.struct(iou(box, t, eps=EPS).alias("v"), (-t["gt_idx"]).alias("g")))
-    best = F.array_max(F.filter(choice, lambda c: c["v"] >= thr))
+    choice = F.transform("_ts", lambda t: F.struct(overlapping(box, t, thr, eps=EPS).alias("v"), (-t["gt_idx"]).alias("g")))
+    best = F.array_max(F.filter(choice, lambda c: c["v"].isNotNull()))
     rows = pred.select(*keys, "pred_idx", "score", *CORNERS).join(boxes, t_keys, "left")
     rows = rows.select(*keys, "pred_idx", "score", (-best["g"]).alias("gt_idx"))
     turn = F.row_number().over(Window.partitionBy(*keys, "gt_idx").orderBy(F.desc("score"), F.asc("pred_idx")))
@@ -120,10 +121,10 @@ def _best_large(pred: DataFrame, gt: DataFrame, thr: float, keys: list[str], t_k
     p = pred.select(*keys, _box(pred, "p")).distinct()
     t = boxes.select(*t_keys, _box(boxes, "t", "gt_idx")).join(p.select(*keys).distinct(), t_keys)
     # any overlap that reaches `thr` beats all that do not (padding only lowers a value)
-    padded = iou(F.col("p"), F.col("t"), eps=EPS)
+    padded = overlapping(F.col("p"), F.col("t"), thr, eps=EPS)
     best = (
         _grid_join(p, t, keys, thr)
-        .filter(padded >= thr)
+        .filter(padded.isNotNull())
         .groupBy(*keys, "p")
         .agg(F.max(F.struct(padded.alias("v"), (-F.col("t.gt_idx")).alias("g"))).alias("_best"))
         .select(*keys, *[F.col(f"p.{c}") for c in CORNERS], (-F.col("_best.g")).alias("gt_idx"))

@@ -175,7 +175,7 @@ def dropped(s: Source):
 printf('%d %.6f %.6f %.6f %.6f', category_id, (x + w / 2) / 640, (y + h / 2) / 480, w / 640, h / 480) AS line FROM b WHERE w > 0 AND h > 0""", b=COCO))
 def yolo(s: Source):
     cats, boxes, images = _coco(s)
-    return yolo_rows(images, boxes, class_index(cats).drop("class_index"))
+    return yolo_rows(images, boxes, class_index(cats).drop("class_index")).drop("label_path")
 
 
 REQUESTS = "SELECT CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN SUBSTRING(c_name, 1, 17) ELSE CONCAT(c_name, 'x') END AS req FROM {customer}"

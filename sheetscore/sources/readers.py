@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import VALUE, variant_value
 from ..functions.text import stem
+from ..operators.prefix import sequential_ids
 from ..schemas import ANNOTATION_JSON, COCO_JSON, FEATURE, FEATURE_SCHEMA, OCR_JSON, VLM_JSON
+from ..session import cut
 
 
 def _feature(v: Column) -> Column:
@@ -21,9 +23,8 @@ def _feature(v: Column) -> Column:
     ).cast(FEATURE)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """All masters of a folder. Names starting with `_` are templates; unreadable files are left out."""
-    rows = (
+def _masters(spark: SparkSession, path: str) -> DataFrame:
+    return (
         spark.read.schema(ANNOTATION_JSON + ", _corrupt_record string")
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
@@ -31,6 +32,18 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
         .json(path)
         .withColumn("path", F.col("_metadata.file_path"))
     )
+
+
+def unreadable_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the masters that are no JSON documents of this kind."""
+    # the reader refuses to answer from this column alone, so its verdicts are written once
+    judged = cut(_masters(spark, path).select("path", F.col("_corrupt_record").isNotNull().alias("bad"), F.col("image").isNotNull().alias("named")))
+    return judged.filter("bad").select("path").distinct()
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """All masters of a folder. Names starting with `_` are templates; `unreadable_annotations` lists what is left out."""
+    rows = _masters(spark, path)
     return rows.filter(F.col("_corrupt_record").isNull()).select(
         F.coalesce(F.nullif("image", F.lit("")), stem(F.url_decode("path"))).alias("image"),
         "path", "width", "height", "status", "meta",
@@ -89,11 +102,18 @@ def ocr_texts(results: DataFrame, non_empty: bool = True) -> DataFrame:
 
 
 def read_vlm_results(spark: SparkSession, path: str, task: str | None = None, mode: str | None = None) -> DataFrame:
-    """Accumulated extraction results with their file order, fields as tagged values."""
+    """Accumulated extraction results with their file order, fields as tagged values.
+
+    seq: files by path, rows by their place in the file. One task reads a file, so the task's running number
+    less the file's first one is that place, whatever order the files were dealt in.
+    """
     rows = (
         spark.read.schema(VLM_JSON).option("multiLine", True).json(path)
-        .withColumn("seq", F.monotonically_increasing_id())
+        .withColumns({"_path": F.col("_metadata.file_path"), "_id": F.monotonically_increasing_id()})
     )
+    files = sequential_ids(rows.groupBy("_path").agg(F.min("_id").alias("_first")), [F.asc("_path")], "_file")
+    place = F.col("_id") - F.col("_first")
+    rows = rows.join(files, "_path").withColumn("seq", F.col("_file") * F.lit(1 << 33) + place)
     if task:
         rows = rows.filter(F.col("task") == task)
     if mode:
@@ -163,17 +183,23 @@ def read_field_key(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_training_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """Every run's results.csv -> (run_dir, pos, map50, precision, recall)."""
-    rows = (
-        spark.read.option("header", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "results.csv").option("ignoreLeadingWhiteSpace", True).csv(root)
-        .withColumn("_path", F.col("_metadata.file_path"))
+    """Every run's results.csv -> (run_dir, pos, map50, precision, recall).
+
+    Columns go by the names in each file's own header; logs differ in their columns.
+    """
+    files = (
+        spark.read.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "results.csv")
+        .text(root, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
     )
-    rows = rows.toDF(*[c.strip() for c in rows.columns])
-    number = lambda c: F.coalesce(F.col(f"`metrics/{c}(B)`").try_cast("double"), F.lit(0.0))
+    cells = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(x))
+    lines = files.select("_path", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    rows = lines.select("_path", cells(F.col("l")[0]).alias("head"), F.explode(F.slice("l", 2, F.size("l"))).alias("line"))
+    by_name = F.map_from_entries(F.arrays_zip("head", cells(F.col("line"))))
+    rows = rows.filter(F.size("head") >= F.size(cells(F.col("line")))).select("_path", by_name.alias("m"))
+    number = lambda c: F.coalesce(F.col("m")[f"metrics/{c}(B)"].try_cast("double"), F.lit(0.0))
     return rows.select(
         F.regexp_extract("_path", r"^(.*)/results\.csv$", 1).alias("run_dir"),
-        F.col("epoch").try_cast("int").alias("pos"),
+        F.col("m")["epoch"].try_cast("int").alias("pos"),
         number("mAP50").alias("map50"), number("precision").alias("precision"), number("recall").alias("recall"),
     )
 
@@ -196,6 +222,15 @@ def read_image_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_feature_schema(spark: SparkSession, path: str) -> list[dict]:
+    """The declared fields of a JSON file, in its order: a list of {name, type, unit, description}."""
+    rows = spark.read.schema("name string, type string, unit string, description string").option("multiLine", True).json(path).collect()
+    names = [r["name"] for r in rows]  # one row for each field of a prompt
+    if len(set(names)) < len(names) or None in names:
+        raise ValueError(f"{path} names a feature twice or not at all")
+    return [r.asDict() for r in rows]
+
+
 def feature_schema(spark: SparkSession, features: list[dict] | None = None) -> DataFrame:
     """The declared fields as a short relation."""
     rows = [(i, f["name"], f["type"], f.get("unit"), f.get("description")) for i, f in enumerate(features or FEATURE_SCHEMA)]

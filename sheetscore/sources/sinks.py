@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.coco import coco_documents, yolo_rows
+from ..operators.coco import coco_documents, label_files
 from ..operators.keys import answer_keys
 from ..schemas import CATEGORIES
+from ..session import cut
+from .readers import read_annotations, unreadable_annotations
 
 
 def write_answer_keys(annotations: DataFrame, out: str) -> None:
-    """All keys together; a second run gives the same tables, no masters give empty ones."""
+    """All keys together; a second run gives the same tables, no masters give empty ones. The masters are parsed once."""
+    annotations = cut(annotations)
     for name, df in answer_keys(annotations).items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
+def build_answer_keys(spark: SparkSession, masters: str, out: str, skip_unreadable: bool = False) -> None:
+    """Keys of a folder of masters; stops at unreadable ones unless told to skip them."""
+    bad = unreadable_annotations(spark, masters).limit(5).collect()
+    if bad and not skip_unreadable:
+        raise ValueError(f"unreadable masters, among them {[r['path'] for r in bad]}")
+    write_answer_keys(read_annotations(spark, masters), out)
+
+
 def write_coco(images: DataFrame, boxes: DataFrame, out: str, categories: DataFrame | None = None, boxes_per_document: int = 50_000) -> None:
     """COCO documents of bounded size, one per line and number."""
     if categories is None:
@@ -25,11 +36,17 @@ def write_coco(images: DataFrame, boxes: DataFrame, out: str, categories: DataFr
 
 
 def write_yolo_labels(images: DataFrame, annotations: DataFrame, categories: DataFrame, out: str) -> None:
-    """Label lines under one folder per picture, and the class names in index order."""
+    """Label lines under one folder per picture path, and the class names in index order.
+
+    `files` has one row (label_path, text) for every picture, those without boxes included: the form for
+    many pictures. The folders are the export for tools that want one place per picture.
+    """
     from ..operators.coco import class_index
 
-    rows = yolo_rows(images, annotations, categories)
-    rows.select("stem", F.col("line").alias("value")).write.mode("overwrite").partitionBy("stem").text(f"{out}/labels")
+    files = label_files(images, annotations, categories)
+    files.write.mode("overwrite").parquet(f"{out}/files")
+    lines = files.select(F.col("label_path").alias("stem"), F.col("text").alias("value"))
+    lines.repartition("stem").write.mode("overwrite").partitionBy("stem").text(f"{out}/labels")
     names = class_index(categories).orderBy("class_index").select(F.concat_ws(" ", "class_index", "name").alias("value"))
     names.coalesce(1).write.mode("overwrite").text(f"{out}/classes")  # the class list
 
