@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_round, f1, ratio
 from ..functions.boxes import CORNERS
+from ..session import cut
 from .assign import greedy_box_match
 from .groups import small_table
 from .overlap import argmax_box_match
@@ -60,6 +61,7 @@ def detection_scores(marks: DataFrame, pred: DataFrame, gt: DataFrame, conf: flo
     a confidence cut is a prefix of it and is not repeated. A class without
     truth boxes gives no row.
     """
+    marks = cut(marks.select(*CURVE, "image", "pred_idx", "score", "is_tp", "scored"))  # the curve counts them, then walks them
     n_gt = truth_counts(gt)
     sure = F.col("score") >= conf
     points = curve(marks.filter("scored"), n_gt, max_rows, pred).withColumn("f1", f1(F.col("precision"), F.col("recall")))
@@ -108,7 +110,7 @@ def evaluate_detection(pred: DataFrame, gt: DataFrame, iou_thr: float = 0.5, con
 
 def ap_11_point(pred: DataFrame, gt: DataFrame, thr: float = 0.5, max_rows: int = MAX_WINDOW_ROWS, **bounds) -> DataFrame:
     """Second scorer, per (run, class): eleven recall levels over padded ratios."""
-    marks = argmax_box_match(pred, gt, thr, **bounds)
+    marks = cut(argmax_box_match(pred, gt, thr, **bounds).select(*CURVE, "image", "pred_idx", "score", "is_tp"))
     n_gt = truth_counts(gt)
     points = curve(marks, n_gt, max_rows, pred).withColumns(
         {
@@ -133,10 +135,9 @@ def ap_11_point(pred: DataFrame, gt: DataFrame, thr: float = 0.5, max_rows: int
 
 def mean_ap_11_point(per_class: DataFrame, gt: DataFrame) -> DataFrame:
     """Per run: mean over the classes that have truth boxes; a class never predicted counts 0."""
-    classes = gt.agg(F.count_distinct("class").alias("n_class"))
+    classes = gt.agg(F.count_distinct("class").alias("n_class"))  # one row
     total = per_class.groupBy("run_id").agg(F.sum("ap").alias("_ap"))
-    n = classes.first()["n_class"]  # one number
-    return total.select("run_id", (F.col("_ap") / F.lit(n)).alias("map50"))
+    return total.join(F.broadcast(classes)).select("run_id", (F.col("_ap") / F.col("n_class")).alias("map50"))
 
 
 def detection_detail(pred: DataFrame, gt: DataFrame, sizes: DataFrame) -> DataFrame:

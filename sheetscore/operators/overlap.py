@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import CORNERS, can_match, overlapping
+from ..session import cut
 from .groups import MAX_CELLS, MAX_ROWS, checked_broadcast, oversized_pairs
 
 KEYS = ("run_id", "image", "class")
@@ -62,6 +63,7 @@ def iou_join(
     """Pairs with IoU >= thr -> (keys, p, t, iou); `p` and `t` are box structs."""
     keys = list(keys)
     t_keys = [k for k in keys if k in t.columns]
+    p, t = cut(p), cut(t)
     big = oversized_pairs(p, t, keys, t_keys, max_rows, max_cells)
     overlap = overlapping(F.col("p"), F.col("t"), thr)
     if big is None:
@@ -151,6 +153,8 @@ def argmax_box_match(
     """
     keys = list(keys)
     t_keys = [k for k in keys if k in gt.columns]
+    pred = cut(pred.select(*keys, "pred_idx", "score", *CORNERS))
+    gt = cut(gt.select(*t_keys, "gt_idx", *CORNERS))
     big = oversized_pairs(pred, gt, keys, t_keys, max_rows, max_cells)
     if big is None:
         out = _best_small(pred, gt, thr, keys, t_keys)
