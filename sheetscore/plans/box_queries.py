@@ -145,6 +145,21 @@ def pairs(s: Source):
     return overlap_pairs(*_boxes(s)).select("run_id", "image", "class", "pred_idx", "gt_idx", *r6("iou"))
 
 
+# every seventh box is odd: no width, turned round, not a number, infinite; some have no image
+ODD = """SELECT run_id, CASE WHEN pred_idx % 11 = 10 THEN NULL ELSE image END AS image, class, pred_idx, score, y1, y2,
+CASE pred_idx % 7 WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE x1 END AS x1,
+CASE pred_idx % 7 WHEN 3 THEN x1 WHEN 4 THEN x1 - 5 WHEN 5 THEN CAST('Infinity' AS DOUBLE) ELSE x2 END AS x2 FROM ({0}) AS q"""
+ODD_PRED = ODD.format(PRED)
+ODD_GT = ODD.replace("run_id, ", "", 1).replace("score, ", "", 1).replace("pred_idx", "gt_idx").format(GT)
+FIT = "isfinite(b.x1) AND isfinite(b.x2) AND b.x2 > b.x1 AND b.y2 > b.y1"
+
+
+@query("overlap_pairs_odd_boxes", with_inputs(f"""SELECT p.run_id, p.image, p.class, p.pred_idx, g.gt_idx, round({IOU}, 6) AS iou
+FROM (SELECT * FROM pred b WHERE {FIT}) p JOIN (SELECT * FROM gt b WHERE {FIT}) g ON p.image = g.image AND p.class = g.class WHERE {IOU} >= 0.5""", gt=ODD_GT, pred=ODD_PRED))
+def odd_pairs(s: Source):
+    return overlap_pairs(s.sql(ODD_PRED), s.sql(ODD_GT), max_rows=3, max_cells=6).select("run_id", "image", "class", "pred_idx", "gt_idx", *r6("iou"))
+
+
 @query("gt_hit", with_inputs("SELECT DISTINCT run_id, image, class, gt_idx FROM pairs WHERE iou >= 0.5 AND score >= 0.25", gt=GT, pred=PRED, pairs=PAIRS))
 def hit(s: Source):
     return gt_hit(*_boxes(s))

@@ -147,6 +147,21 @@ def routed(s: Source):
     return route_by_class(crops, {"dimension": _upper_reader, "table": _table_reader}, ["image", "pos", "reader"]).drop("confidence")
 
 
+SOME_CLASSES = f"""SELECT image, CASE idx % 10 WHEN 0 THEN NULL WHEN 1 THEN 'note' ELSE class END AS class, idx AS pos, text FROM ({CROPS}) AS q"""
+
+
+@query("read_routed_default", with_inputs("""SELECT image, pos, 0::BIGINT AS read_idx, CASE class WHEN 'dimension' THEN upper(text) ELSE text END AS text FROM c
+UNION ALL SELECT image, pos, 1::BIGINT, '|' FROM c WHERE class = 'table'""", c=SOME_CLASSES))
+def routed_default(s: Source):
+    """A tenth of the crops has no class, another one a class without a reader of its own."""
+    readers = {"dimension": _upper_reader, "table": _table_reader}
+    return route_by_class(s.sql(SOME_CLASSES), readers, ["image", "pos"], default=_plain_reader).drop("confidence")
+
+
+def _plain_reader():
+    return lambda rows: [[(r["text"], 0.5)] for r in rows]
+
+
 def _echo_extractor():
     def extract(row):
         if row["event_type"] == "error":

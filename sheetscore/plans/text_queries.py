@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.dims import dims_equal, parse_normalized
 from ..functions.numbers import first_number, numbers_equal
 from ..functions.text import fold, normalize_text, tokens
-from ..operators.strings import char_overlap, detection_cost, string_detail, string_scores, token_flags, whole_text_scores, word_overlap
+from ..operators.strings import char_overlap, detection_cost, result_images, string_detail, string_scores, token_flags, whole_text_scores, word_overlap
 from .registry import Source, query, r6, with_inputs
 
 CALLOUTS = """
@@ -129,9 +129,16 @@ def strings(s: Source):
                       *r6("cer", "exact_match", "precision", "recall", "f1"))
 
 
-@query("string_word_errors")
+# words as single ASCII letters, numbered over both sides of a pair: then its distance of bytes is that of words
+_LETTERS = "array_to_string(list_transform({0}, lambda w: chr(CAST(63 + list_position(list_distinct(list_concat({1}, {2})), w) AS INTEGER))), '')"
+_GW, _MW = "list_filter(string_split(norm, ' '), lambda w: w <> '')", "list_filter(string_split(match_norm, ' '), lambda w: w <> '')"
+WORD_EDITS = f"""SELECT run_id, CAST(sum(least(levenshtein({_LETTERS.format("g", "g", "p")}, {_LETTERS.format("p", "g", "p")}), len(g))) AS BIGINT) AS word_edits,
+CAST(sum(greatest(1, len(g))) AS BIGINT) AS gt_words, round(sum(least(levenshtein({_LETTERS.format("g", "g", "p")}, {_LETTERS.format("p", "g", "p")}), len(g))) / sum(greatest(1, len(g))), 6) AS wer
+FROM (SELECT run_id, {_GW} AS g, {_MW} AS p FROM m) AS q GROUP BY run_id"""
+
+
+@query("string_word_errors", _match(WORD_EDITS))
 def word_errors(s: Source):
-    """Word edit distances have no counterpart in the checker's dialect."""
     return string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True)).select("run_id", "word_edits", "gt_words", *r6("wer"))
 
 
@@ -146,6 +153,18 @@ def extras(s: Source):
     return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))[1]
 
 
+# a run that left every image with a large part number empty, with its list of results
+SHORT_PRED = f"SELECT run_id, image, pred_idx, text FROM ({STRING_PRED}) AS q WHERE length(image) % 10 > 0"
+SCORED = with_inputs("", True, gt=STRING_GT, pred=SHORT_PRED, res=STRING_PRED) + "," + TEXT_MATCH.replace("seen AS (SELECT DISTINCT run_id, image FROM pred)", "seen AS (SELECT DISTINCT run_id, image FROM res)")
+
+
+@query("string_scores_empty_results", SCORED + """SELECT run_id, char_edits, gt_chars, found, n_gt, matched_pred, n_pred, evaluated_images,
+round(char_edits / gt_chars, 6) AS cer, round(found / n_gt, 6) AS recall FROM sc""")
+def strings_with_empty_results(s: Source):
+    out = string_scores(s.sql(STRING_GT), s.sql(SHORT_PRED), result_images(s.sql(STRING_PRED)))
+    return out.select("run_id", "char_edits", "gt_chars", "found", "n_gt", "matched_pred", "n_pred", "evaluated_images", *r6("cer", "recall"))
+
+
 # --- whole pages: a document against its neighbour, a chat's two sides ----------
 
 PAGE_GT = "SELECT CAST(doc_id AS STRING) AS image, CAST(0 AS BIGINT) AS gt_idx, text FROM {documents}"
@@ -187,6 +206,15 @@ def page_coverage(s: Source):
                       F.round(F.col("matched_words") / F.col("n_pred_words"), 6).alias("word_precision"))
 
 
+LEFT_EMPTY = f"SELECT run_id, image, pred_idx, text FROM ({PAGE_PRED}) AS q WHERE length(text) % 10 > 0"
+
+
+@query("word_overlap_empty_results", with_inputs("", gt=PAGE_GT, pred=LEFT_EMPTY, res=PAGE_PRED) + ","
+       + BAGS.replace("seen AS (SELECT DISTINCT run_id, image FROM pred)", "seen AS (SELECT DISTINCT run_id, image FROM res)") + "SELECT * FROM bag")
+def page_words_with_empty_results(s: Source):
+    return word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(LEFT_EMPTY, heavy=True), result_images(s.sql(PAGE_PRED)))
+
+
 @query("word_overlap_chats", _bags("SELECT * FROM bag", CHAT_GT, CHAT_PRED))
 def chat_words(s: Source):
     return word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
