@@ -61,25 +61,26 @@ def _category(c: Column) -> Column:
 def box_key(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, boxes): every region with a real box, numbered over the corpus."""
     images = drop_drafts(image_ids(annotations))
-    boxes = (
-        region_rows(drop_drafts(annotations))
-        .filter(has_box(F.col("bbox")))
-        .join(images.select("image", "image_id"), "image")
-        .select(
-            "image_id",
-            "image",
-            "pos",
-            _category(F.col("class")).alias("category_id"),
-            "bbox",
-            box_area(F.col("bbox")).alias("area"),
-        )
-    )
-    return (
-        images.select("image_id", "image", "width", "height"),
-        sequential_ids(boxes, [F.asc("image_id"), F.asc("pos")], "id"),
+    # by path: two masters may name one image
+    numbers = images.select("path", "image_id")
+    return images.select("image_id", "image", "width", "height"), numbered_boxes(box_rows(annotations), numbers, "path")
+
+
+def box_rows(annotations: DataFrame) -> DataFrame:
+    """(path, image, pos, category_id, bbox, area): every region with a real box; needs no other image."""
+    rows = drop_drafts(annotations)
+    by_path = region_rows(rows.select(F.struct("path", "image").alias("image"), "regions")).filter(has_box(F.col("bbox")))
+    return by_path.select(
+        "image.*", "pos", _category(F.col("class")).alias("category_id"), "bbox", box_area(F.col("bbox")).alias("area")
     )
 
 
+def numbered_boxes(rows: DataFrame, numbers: DataFrame, on: str) -> DataFrame:
+    """Boxes numbered over the corpus, in order of image_id and place."""
+    boxes = rows.join(numbers, on).select("image_id", "image", "pos", "category_id", "bbox", "area")
+    return sequential_ids(boxes, [F.asc("image_id"), F.asc("pos")], "id")
+
+
 def text_key(annotations: DataFrame, task: str | None = None) -> DataFrame:
     """Non-blank region texts in reading order; `task` None is the whole page.
 

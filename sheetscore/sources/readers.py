@@ -9,7 +9,6 @@ from ..functions.numbers import VALUE, variant_value
 from ..functions.text import stem
 from ..operators.prefix import sequential_ids
 from ..schemas import ANNOTATION_JSON, COCO_JSON, FEATURE, FEATURE_SCHEMA, OCR_JSON, VLM_JSON
-from ..session import cut
 
 
 def _feature(v: Column) -> Column:
@@ -36,15 +35,19 @@ def _masters(spark: SparkSession, path: str) -> DataFrame:
 
 def unreadable_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the masters that are no JSON documents of this kind."""
-    # the reader refuses to answer from this column alone, so its verdicts are written once
-    judged = cut(_masters(spark, path).select("path", F.col("_corrupt_record").isNotNull().alias("bad"), F.col("image").isNotNull().alias("named")))
-    return judged.filter("bad").select("path").distinct()
+    return _masters(spark, path).filter(~_readable()).select("path").distinct()
+
+
+def _readable() -> Column:
+    # A row is whole or has its text in the corrupt column. The second part never holds; it names a further
+    # column, since Spark does not answer from the corrupt one alone, as in a count.
+    return F.col("_corrupt_record").isNull() | F.coalesce(F.col("image") == F.col("_corrupt_record"), F.lit(False))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """All masters of a folder. Names starting with `_` are templates; `unreadable_annotations` lists what is left out."""
     rows = _masters(spark, path)
-    return rows.filter(F.col("_corrupt_record").isNull()).select(
+    return rows.filter(_readable()).select(
         F.coalesce(F.nullif("image", F.lit("")), stem(F.url_decode("path"))).alias("image"),
         "path", "width", "height", "status", "meta",
         F.coalesce("regions", F.array().cast(rows.schema["regions"].dataType)).alias("regions"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.keys import field_key, parsed_dimensions, text_key
+from ..operators.keys import box_rows, field_key, numbered_boxes, parsed_dimensions, text_key
 
 RESULT_KEY = ["image", "mode", "task"]
 
@@ -29,14 +29,42 @@ def stream_upsert_results(results: DataFrame, path: str, checkpoint: str, order:
     return results.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def read_upserted(spark: SparkSession, path: str, order: str = "seq") -> DataFrame:
+def _newest_base(spark: SparkSession, path: str) -> int | None:
+    """The last batch that a finished base holds; bases lie where a plain read of `path` does not look."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_base")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    found = [s.getPath() for s in files.listStatus(folder)]
+    done = [int(p.getName().split("=")[1]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def _resolved(spark: SparkSession, path: str, order: str) -> DataFrame:
     rows = spark.read.option("basePath", path).parquet(path)
-    return _last(rows, RESULT_KEY, F.struct("batch", order)).drop("batch")
+    base = _newest_base(spark, path)
+    if base is not None:  # older batches are pruned by their folder
+        rows = rows.filter(F.col("batch") > base).unionByName(spark.read.parquet(f"{path}/_base/upto={base}").select(*rows.columns))
+    return _last(rows, RESULT_KEY, F.struct("batch", order))
+
+
+def read_upserted(spark: SparkSession, path: str, order: str = "seq") -> DataFrame:
+    """What counts now: the newest base and the batches after it."""
+    return _resolved(spark, path, order).drop("batch")
 
 
-def compact_upserted(spark: SparkSession, path: str, target: str, order: str = "seq") -> None:
-    """One base folder of what counts now, beside the old ones."""
-    read_upserted(spark, path, order).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def compact_upserted(spark: SparkSession, path: str, target: str | None = None, order: str = "seq") -> None:
+    """A base of what counts now, in place: readers take it from the moment it is complete.
+
+    Batches that arrive meanwhile stay after it. With `target`, a copy beside the old folders instead.
+    """
+    if target is not None:
+        read_upserted(spark, path, order).write.mode("overwrite").parquet(f"{target}/batch=-1")
+        return
+    batches = spark.read.option("basePath", path).parquet(path).select("batch")
+    last = batches.agg(F.max("batch")).first()[0]
+    if last is not None and last != _newest_base(spark, path):
+        _resolved(spark, path, order).filter(F.col("batch") <= last).write.mode("overwrite").parquet(f"{path}/_base/upto={last}")
 
 
 def stream_leaderboard(runs: DataFrame, keys: list[str | Column]) -> DataFrame:
@@ -52,6 +80,7 @@ KEYS = {
     "whole_texts": text_key,
     "fields": field_key,
     "parsed_dimensions": parsed_dimensions,
+    "boxes": box_rows,
 }
 
 
@@ -78,3 +107,11 @@ def read_key(spark: SparkSession, path: str, name: str) -> DataFrame:
     last = touched.groupBy("image").agg(F.max("batch").alias("batch"))
     rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
     return rows.join(last, ["image", "batch"]).drop("batch")
+
+
+def read_box_key(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
+    """The box key of a stream of masters; numbers run over the corpus, so they are given when it is read.
+
+    images: (image, image_id) of `image_ids`. Boxes of deleted images are gone.
+    """
+    return numbered_boxes(read_key(spark, path, "boxes").drop("path"), images.select("image", "image_id"), "image")

@@ -155,3 +155,51 @@ def test_long_common_ends(spark):
     rows = [("abc", "abc"), ("", "x"), ("xaby", "xcdy"), ("aXbcYd", "abZcd"), ("same" * 3, "same" * 2)]
     df = spark.createDataFrame(rows, "a string, b string").select("a", "b", lcs_length("a", "b").alias("n")).collect()
     assert [r.n for r in df] == [brute.lcs(a, b) for a, b in rows]
+
+
+def test_compaction_in_place(spark, tmp_path):
+    from sheetscore.streaming import jobs
+
+    out = str(tmp_path / "out")
+    put = lambda batch, rows: spark.createDataFrame(rows, "image string, mode string, task string, seq long, v int").write.parquet(f"{out}/batch={batch}")
+    now = lambda: sorted((r.image, r.v) for r in jobs.read_upserted(spark, out).collect())
+    put(0, [("a", "m", "t", 5, 1), ("b", "m", "t", 1, 2)])
+    put(1, [("a", "m", "t", 1, 3)])
+    assert now() == [("a", 3), ("b", 2)]
+    jobs.compact_upserted(spark, out)
+    assert now() == [("a", 3), ("b", 2)] and jobs._newest_base(spark, out) == 1
+    put(2, [("b", "m", "t", 0, 7)])
+    assert now() == [("a", 3), ("b", 7)]
+    jobs.compact_upserted(spark, out)
+    (tmp_path / "out/_base/upto=9").mkdir()  # one that never finished
+    assert now() == [("a", 3), ("b", 7)] and jobs._newest_base(spark, out) == 2
+
+
+def test_box_key_of_a_stream(spark, tmp_path):
+    from sheetscore.operators.keys import box_key, image_ids
+    from sheetscore.streaming import jobs
+
+    for name, n in (("a", 2), ("b", 1), ("c", 3)):
+        dump(tmp_path / f"m/{name}.json", {"image": name, "width": 9, "height": 9, "regions": [{"id": i, "class": "table", "bbox": [i, 0, 5, 5]} for i in range(n)]})
+    a = readers.read_annotations(spark, str(tmp_path / "m")).withColumn("deleted", F.lit(False))
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+
+    def save(df, at):
+        df.withColumn("saved_at", F.lit(at)).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+        jobs.stream_rebuild_keys(stream, out, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        key = jobs.read_box_key(spark, out, image_ids(a))
+        return sorted(tuple(r) for r in key.select("id", "image", "pos", "area").collect())
+
+    whole = sorted(tuple(r) for r in box_key(a)[1].select("id", "image", "pos", "area").collect())
+    assert save(a, 1) == whole and len(whole) == 6
+    left = save(a.filter("image = 'b'").withColumn("deleted", F.lit(True)), 2)
+    assert [x[1:] for x in left] == [x[1:] for x in whole if x[1] != "b"] and [x[0] for x in left] == [x[0] for x in whole[: len(left)]]
+
+
+def test_two_masters_of_one_name_keep_their_boxes(spark, tmp_path):
+    from sheetscore.operators.keys import box_key
+
+    for name in ("p", "q"):
+        dump(tmp_path / f"m/{name}.json", {"image": "same", "width": 9, "height": 9, "regions": [{"id": 1, "class": "table", "bbox": [0, 0, 5, 5]}] * 2})
+    assert box_key(readers.read_annotations(spark, str(tmp_path / "m")))[1].count() == 4
