@@ -39,13 +39,14 @@ def write_yolo_labels(images: DataFrame, annotations: DataFrame, categories: Dat
     """Label lines under one folder per picture path, and the class names in index order.
 
     `files` has one row (label_path, text) for every picture, those without boxes included: the form for
-    many pictures. The folders are the export for tools that want one place per picture.
+    many pictures. The folders are the export for tools that want one place per picture; a line writer
+    cannot make an empty file, so pictures without boxes are in `files` only.
     """
     from ..operators.coco import class_index
 
     files = label_files(images, annotations, categories)
     files.write.mode("overwrite").parquet(f"{out}/files")
-    lines = files.select(F.col("label_path").alias("stem"), F.col("text").alias("value"))
+    lines = files.filter("text <> ''").select(F.col("label_path").alias("stem"), F.col("text").alias("value"))
     lines.repartition("stem").write.mode("overwrite").partitionBy("stem").text(f"{out}/labels")
     names = class_index(categories).orderBy("class_index").select(F.concat_ws(" ", "class_index", "name").alias("value"))
     names.coalesce(1).write.mode("overwrite").text(f"{out}/classes")  # the class list
