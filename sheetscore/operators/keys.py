@@ -69,7 +69,8 @@ def box_key(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def box_rows(annotations: DataFrame) -> DataFrame:
     """(path, image, pos, category_id, bbox, area): every region with a real box; needs no other image."""
     rows = drop_drafts(annotations)
-    by_path = region_rows(rows.select(F.struct("path", "image").alias("image"), "regions")).filter(has_box(F.col("bbox")))
+    path = F.col("path" if "path" in rows.columns else "image").alias("path")
+    by_path = region_rows(rows.select(F.struct(path, "image").alias("image"), "regions")).filter(has_box(F.col("bbox")))
     return by_path.select(
         "image.*", "pos", _category(F.col("class")).alias("category_id"), "bbox", box_area(F.col("bbox")).alias("area")
     )

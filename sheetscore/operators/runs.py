@@ -118,20 +118,27 @@ def run_detail_join(runs: DataFrame, detail: DataFrame) -> DataFrame:
 
 
 def sample_images(images: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """A repeatable random choice of n images."""
-    return images.orderBy(F.xxhash64("image", F.lit(seed)), "image").limit(n)
+    """A repeatable random choice of n images: those whose digest with the seed comes first."""
+    return images.orderBy(F.md5(F.concat("image", F.lit(f"|{seed}"))), "image").limit(n)
 
 
 # --- set operations ----------------------------------------------------------
 
 
-def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """One row per key, the last writer wins. `version` orders writes within a side."""
+def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], version: list[str], place: str | None = None) -> DataFrame:
+    """One row per key, the last writer wins. `version` orders writes within a side.
+
+    `place`: a column that keeps the value of the first write, as the number of a row that is replaced where it stands.
+    """
     old = existing.withColumn("_side", F.lit(0))
     both = old.unionByName(updates.withColumn("_side", F.lit(1)))
     cols = [c for c in existing.columns]
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct("_side", *version)).alias("_r"))
-    return last.select("_r.*")
+    order = F.struct("_side", *version)
+    last = F.max_by(F.struct(*cols), order).alias("_r")
+    if place is None:
+        return both.groupBy(*keys).agg(last).select("_r.*")
+    kept = both.groupBy(*keys).agg(last, F.min_by(place, order).alias("_place"))
+    return kept.select(*[F.col("_place").alias(c) if c == place else F.col(f"_r.{c}") for c in cols])
 
 
 def delete_keys(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

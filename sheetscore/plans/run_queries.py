@@ -164,7 +164,6 @@ def ids(s: Source):
     return new_entries(rows).select("event_id", F.col("id").alias("slug"))
 
 
-@query("sample_images")
+@query("sample_images", "SELECT CAST(doc_id AS VARCHAR) AS image FROM documents ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '|7')), 1 LIMIT 20")
 def sample(s: Source):
-    """A seeded choice; the hash is the engine's own."""
     return sample_images(s.table("documents").select(F.col("doc_id").cast("string").alias("image")), 20, seed=7)

@@ -203,3 +203,13 @@ def test_two_masters_of_one_name_keep_their_boxes(spark, tmp_path):
     for name in ("p", "q"):
         dump(tmp_path / f"m/{name}.json", {"image": "same", "width": 9, "height": 9, "regions": [{"id": 1, "class": "table", "bbox": [0, 0, 5, 5]}] * 2})
     assert box_key(readers.read_annotations(spark, str(tmp_path / "m")))[1].count() == 4
+
+
+def test_upsert_keeps_the_place_of_the_first_write(spark):
+    from sheetscore.operators.runs import upsert
+
+    old = spark.createDataFrame([("a", 0, 1), ("b", 1, 2)], "image string, seq int, v int")
+    new = spark.createDataFrame([("a", 7, 9), ("c", 8, 3), ("c", 9, 4)], "image string, seq int, v int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(upsert(old, new, ["image"], ["seq"], place="seq")) == [("a", 0, 9), ("b", 1, 2), ("c", 8, 4)]
+    assert rows(upsert(old, new, ["image"], ["seq"])) == [("a", 7, 9), ("b", 1, 2), ("c", 9, 4)]
