@@ -14,6 +14,7 @@ from ..functions.dims import parse_normalized
 from ..functions.numbers import pred_present
 from ..functions.text import has_text, normalize_text, strip
 from ..schemas import CATEGORIES
+from ..session import cut
 from .prefix import sequential_ids
 
 TASK_CLASSES = {"tables": ["table"], "dimensions": ["dimension"], "both": ["table", "dimension"]}
@@ -50,7 +51,8 @@ def detection_truth(annotations: DataFrame, task: str = "both") -> DataFrame:
 
 def image_ids(annotations: DataFrame) -> DataFrame:
     """Image ids are positions in the sorted file list, drafts included."""
-    return sequential_ids(annotations.select("image", "path", "width", "height", "status"), [F.asc("path")], "image_id")
+    files = cut(annotations.select("image", "path", "width", "height", "status"))  # counted, then numbered
+    return sequential_ids(files, [F.asc("path")], "image_id")
 
 
 def _category(c: Column) -> Column:
@@ -60,7 +62,7 @@ def _category(c: Column) -> Column:
 
 def box_key(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, boxes): every region with a real box, numbered over the corpus."""
-    images = drop_drafts(image_ids(annotations))
+    images = cut(drop_drafts(image_ids(annotations)))
     # by path: two masters may name one image
     numbers = images.select("path", "image_id")
     return images.select("image_id", "image", "width", "height"), numbered_boxes(box_rows(annotations), numbers, "path")
@@ -78,7 +80,7 @@ def box_rows(annotations: DataFrame) -> DataFrame:
 
 def numbered_boxes(rows: DataFrame, numbers: DataFrame, on: str) -> DataFrame:
     """Boxes numbered over the corpus, in order of image_id and place."""
-    boxes = rows.join(numbers, on).select("image_id", "image", "pos", "category_id", "bbox", "area")
+    boxes = cut(rows.join(numbers, on).select("image_id", "image", "pos", "category_id", "bbox", "area"))
     return sequential_ids(boxes, [F.asc("image_id"), F.asc("pos")], "id")
 
 
