@@ -27,6 +27,7 @@ TABLE = 1 << 16
 CHAIN = 128  # words of one sequence
 # Bounds of the training sample: documents of one language, words of one document.
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 1000, 60
+MOST_LANGUAGES = 500
 REMEMBERED = 400_000  # words of a worker
 
 
@@ -130,23 +131,31 @@ def held_out(doc_id: Column) -> Column:
 def training_words(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS) -> dict[str, list[list[str]]]:
     """By language, runs of words of a bounded sample: the documents whose hash comes first, a run at a hashed place of each."""
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= documents)
-    # few rows: at most `documents` for each language
-    rows = labelled.select("doc_id", text_bytes()).join(picked.select("doc_id", "lang"), "doc_id")
+    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return {}
+    # texts are read where they lie: half as many documents again as wanted pass by their hash, and only words of these move
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (1.5 * documents + 50) / r["count"])])
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 31)).alias("place")
+    rows = labelled.select(F.col("doc_id").cast("long"), text_bytes(), "lang", place).filter(F.col("place") < share[F.col("lang")] * (1 << 31))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"doc_id": [], "lang": [], "words": []}
-        for doc, text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        out: dict[str, list] = {"doc_id": [], "lang": [], "words": [], "place": []}
+        for doc, text, lang, place in zip(*(c.to_pylist() for c in batch.columns)):
             found = WORD.findall(text.decode().lower())
             at = zlib.crc32(str(doc).encode()) % max(1, len(found) - words + 1)
             if found:
-                for name, value in zip(out, (doc, lang, found[at : at + words])):
+                for name, value in zip(out, (doc, lang, found[at : at + words], place)):
                     out[name].append(value)
         return out
 
+    taken = arrow_map(rows, run, "doc_id long, lang string, words array<string>, place long")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    first = taken.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= documents).orderBy("doc_id")
     found: dict[str, list[list[str]]] = {}
-    for r in arrow_map(rows.select(F.col("doc_id").cast("long"), "text", "lang"), run, "doc_id long, lang string, words array<string>").orderBy("doc_id").collect():
+    for r in first.select("lang", "words").collect():  # `documents` for each language at most
         found.setdefault(r["lang"], []).append(r["words"])
     return found
 
@@ -224,7 +233,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def drop_unidentified(docs: DataFrame, model: Model, least_score: float = 0.4) -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame:
     """The documents with a language and at least this score; all their columns, in one pass."""
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 

@@ -42,14 +42,14 @@ def cases(seed):
     word = lambda n: "".join(r.choice(alphabet) for _ in range(n))
     items = [word(r.choice([3, 6, 7, 20, 45, 80])) for _ in range(12)] + ["", None, "a" * 30, "ab" * 20]
     texts = [None, "", "abc", "a" * 400, "b" + "ab" * 300]
-    for _ in range(60):
+    for _ in range(40):
         item = r.choice(items) or "x"
         texts.append(word(r.randrange(60)) + noisy(r, item, r.choice([0, 1, 2, 4, 8, 9]), alphabet) + word(r.randrange(60)))
     return items, texts
 
 
 def test_search_matches_brute_force(monkeypatch):
-    for seed in range(4):
+    for seed in range(3):
         items, texts = cases(seed)
         for hits in (1_000_000, 50):
             monkeypatch.setattr(dc, "HITS_AT_ONCE", hits)

@@ -85,9 +85,8 @@ def near_texts(n=160, seed=5):
     return texts + [None, "", " \t", "é É", "é É", "É é", "one two", "One  Two"]
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 3])
-@pytest.mark.parametrize("partitions", [None, 2, 4])
-def test_simhash_matches_brute_force(spark, bucket_rows, partitions):
+@pytest.mark.parametrize("partitions, bucket_rows", [(None, 2000), (None, 3), (2, 2000), (4, 3)])
+def test_simhash_matches_brute_force(spark, partitions, bucket_rows):
     texts = near_texts()
     fps = [plain_fingerprint(t) for t in texts]
     out = simhash.simhash_groups(table(spark, texts), partitions=partitions, bucket_rows=bucket_rows).collect()

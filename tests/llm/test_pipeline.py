@@ -38,7 +38,7 @@ def test_run_matches_brute_force(spark, tmp_path, extra):
     table = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r.doc_id: r.text for r in table.select("doc_id", "text").orderBy("doc_id").collect()}
     model = lg.train(table)
-    texts = {d: t for d, t in texts.items() if (p := model.predict([t or ""]))[0] != ["und"] and p[1][0] >= 0.4}
+    texts = {d: t for d, t in texts.items() if (p := model.predict([t or ""]))[0] != ["und"] and p[1][0] >= 0.3}
     ids = list(texts)
     texts = {ids[i]: row[0] for i, row in brute_lines(list(texts.values())).items()}
     roots = brute_groups([plain_fingerprint(t) for t in texts.values()])
