@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.groups import checked_broadcast
 from .common import NUMBER_BATCH, arrow_map, components, runs, text_bytes, whole_groups, written
+from .minhash import SIMILARITY, WORDS, near_copies
 
 BITS = 64
 CELLS = 1 << 16  # of the count sketch, per partition
@@ -251,7 +252,11 @@ def simhash_groups(
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document, the one of the smallest doc_id, of each group; all its columns."""
-    kept = simhash_groups(docs, **options).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document, the one of the smallest doc_id, of each group of near copies (minhash.near_copies); all its columns.
+
+    A stage links texts by the Jaccard coefficient of five-word shingles, not by the two bits of simhash_groups.
+    Rows without an id are in no group and stay.
+    """
+    gone = near_copies(docs, words, similarity).filter("doc_id <> root").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
