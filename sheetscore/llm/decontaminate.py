@@ -10,6 +10,7 @@ The benchmark is handed to the tasks in blocks of bounded size, one pass over th
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,33 +38,18 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Index:
-    """q-grams of the items of a block, with their places."""
+class Grams:
+    """q-grams, with their places, of the items that are looked up by the same q."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, error_rate: float = ERROR_RATE):
-        self.q, self.ids, self.text, self.edits, self.need = q, [], [], [], []
-        hashes, item, place = [], [], []
-        for item_id, text in items:
-            code = points(normal(text))
-            n = len(code)
-            if n < q:  # too short to be told from chance
-                continue
-            e = min(int(n * error_rate), (n - q) // q)  # so that at least one q-gram is asked for
-            h = gram_hashes(code, q)
-            hashes.append(h)
-            item.append(np.full(len(h), len(self.ids)))
-            place.append(np.arange(len(h)))
-            self.ids.append(item_id)
-            self.text.append(code)
-            self.edits.append(e)
-            self.need.append(n - q + 1 - q * e)
-        self.edits, self.need = np.array(self.edits, np.int64), np.array(self.need, np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    def __init__(self, q: int, texts: list[np.ndarray], numbers: list[int], edits: np.ndarray, need: np.ndarray):
+        self.q, self.edits, self.need, self.least = q, edits, need, int(need[numbers].min())
+        hashes = [gram_hashes(texts[i], q) for i in numbers]
+        h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.item = np.repeat(numbers, [len(x) for x in hashes])[order]
+        self.place = np.concatenate([np.arange(len(x)) for x in hashes])[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self.reach = max((len(t) + 2 * int(e) + 4 for t, e in zip(self.text, self.edits)), default=0)
+        self.reach = max(len(texts[i]) + 2 * int(edits[i]) + 4 for i in numbers)
         self.filter: np.ndarray | None = None
 
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +63,11 @@ class Index:
         same = self.keys[key] == h[at]
         return at[same], key[same]
 
+    def posts(self, key: np.ndarray) -> np.ndarray:
+        """Where the items of the q-grams stand, those of one q-gram after another."""
+        n = self.count[key]
+        return np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
     def bands(self, at: np.ndarray, key: np.ndarray) -> set[tuple[int, int]]:
         """(item, band) with enough of the item's q-grams; band b: diagonals from b (e + 1) on, 2 (e + 1) of them."""
         n = self.count[key]
@@ -84,44 +75,77 @@ class Index:
             middle = (at[0] + at[-1]) // 2
             left, right = at < middle + self.reach, at >= middle - self.reach
             return self.bands(at[left], key[left]) | self.bands(at[right], key[right])
-        post = np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        post = self.posts(key)
         item, place = self.item[post], self.place[post]
         half = (np.repeat(at, n) - place) // (self.edits[item] + 1)
         # band b is the halves b and b + 1; if half b is empty, band b + 1 holds all that band b does
         own = (item << 34) + half + (1 << 33)
-        kinds, count = np.unique(own, return_counts=True)
-        following = np.append((kinds[1:] == kinds[:-1] + 1) * count[1:], 0)
+        order = np.argsort(own, kind="stable")
+        place = place[order]
+        kinds, start, count = np.unique(own[order], return_index=True, return_counts=True)
+        size = count + np.append((kinds[1:] == kinds[:-1] + 1) * count[1:], 0)
+        enough = np.flatnonzero(size >= self.need[kinds >> 34])
         found = set()
-        for kind in kinds[count + following >= self.need[kinds >> 34]].tolist():
-            inside = (own == kind) | (own == kind + 1)
-            if len(np.unique(place[inside])) >= self.need[kind >> 34]:  # a q-gram of the item counts once
+        for kind, lo, k in zip(kinds[enough].tolist(), start[enough].tolist(), size[enough].tolist()):
+            if len(np.unique(place[lo : lo + k])) >= self.need[kind >> 34]:  # a q-gram of the item counts once
                 found.add((kind >> 34, (kind & ((1 << 34) - 1)) - (1 << 33)))
         return found
 
+
+class Index:
+    """The items of a block. Each has its whole budget of edits, and the largest q <= `q` that leaves it a q-gram.
+
+    An item without an edit and of no more than q characters is its only q-gram, and so found by it alone.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, error_rate: float = ERROR_RATE):
+        self.ids, self.text, edits, need, by_q = [], [], [], [], {}
+        for item_id, text in items:
+            code = points(normal(text))
+            n = len(code)
+            if not n:
+                continue
+            e = int(n * error_rate)
+            own = min(q, n // (e + 1))  # n - own + 1 - own * e >= 1
+            by_q.setdefault((own, own == n), []).append(len(self.ids))
+            self.ids.append(item_id)
+            self.text.append(code)
+            edits.append(e)
+            need.append(n - own + 1 - own * e)
+        self.edits, self.need = np.array(edits, np.int64), np.array(need, np.int64)
+        self.parts = [(whole, Grams(own, self.text, numbers, self.edits, self.need)) for (own, whole), numbers in sorted(by_q.items())]
+
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, first, last, edits) of regions within the edit budget; places in the normal form."""
         code = points(normal(text))
-        if not len(self.keys) or len(code) < self.q:
-            return []
-        at, key = self.hits(code)
-        if len(at) < self.need.min():
-            return []
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for item, band in sorted(self.bands(at, key)):
-            e = int(self.edits[item])
-            # where only the first half holds q-grams, the way of the edits may begin in the half before
-            edits, last = align(self.text[item], code, band * (e + 1) - e, 2 * (e + 1) + e, most=e)
-            if edits > e:
+        for whole, grams in self.parts:
+            if len(code) < grams.q:
+                continue
+            at, key = grams.hits(code)
+            if len(at) < grams.least:
+                continue
+            if whole:
+                for i, first in zip(grams.item[grams.posts(key)].tolist(), np.repeat(at, grams.count[key]).tolist()):
+                    if np.array_equal(self.text[i], code[first : first + grams.q]):
+                        found.setdefault(i, []).append((0, first, first + grams.q))
                 continue
-            back, length = align(self.text[item][::-1], code[:last][::-1][: len(self.text[item]) + e], -e, 2 * e + 1, anchored=True)
-            found.setdefault(item, []).append((edits, last - length, last))
+            for item, band in sorted(grams.bands(at, key)):
+                e = int(self.edits[item])
+                # where only the first half holds q-grams, the way of the edits may begin in the half before
+                edits, last = align(self.text[item], code, band * (e + 1) - e, 2 * (e + 1) + e, most=e)
+                if edits > e:
+                    continue
+                back, length = align(self.text[item][::-1], code[:last][::-1][: len(self.text[item]) + e], -e, 2 * e + 1, anchored=True)
+                found.setdefault(item, []).append((edits, last - length, last))
         out = []
         for item, regions in found.items():
-            kept: list[tuple[int, int, int]] = []
+            kept: list[tuple[int, int, int]] = []  # by place
             for edits, first, last in sorted(regions):
-                if all(last <= a or first >= b for _, a, b in kept):
-                    kept.append((edits, first, last))
-            out += [(self.ids[item], first, last, edits) for edits, first, last in kept]
+                k = bisect_left(kept, (first, last, 0))
+                if (k == 0 or kept[k - 1][1] <= first) and (k == len(kept) or kept[k][0] >= last):
+                    kept.insert(k, (first, last, edits))
+            out += [(self.ids[item], *region) for region in kept]
         return out
 
 
@@ -170,8 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate:
     docs: (doc_id, text, ...), benchmark: (item_id, text, ...). Both texts are compared in lower case with
     white space collapsed; first and last count characters of that form, last excluded. Regions of one
     item do not overlap: of those that would, the one with fewer edits, then the earlier one, counts.
-    Null and empty texts, and items shorter than q, match nothing; repeated items each match; an
-    empty table on either side gives no rows.
+    `q` limits the speed only: every item that is not empty is searched with all its edits, one of
+    fewer than 1 / error_rate characters verbatim. Null and empty texts and items match nothing;
+    repeated items each match; an empty table on either side gives no rows.
     """
     out = None
     for block in blocks(benchmark, block_chars):

@@ -99,3 +99,23 @@ def test_long_text():
     text = "".join(r.choices("abcdefgh ", k=300_000)) + item + "z" * 1000
     assert [(g[0], g[3]) for g in dc.Index([(1, item)]).search(text)] == [(1, 0)]
     assert dc.Index([(1, "a" * 300)]).search("a" * 20_000)
+
+
+def test_short_items_have_their_whole_budget():
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijk lmnop") for _ in range(n))
+    items = [word(n).replace(" ", "q") for n in [*range(1, 36), *range(36, 90, 7)]]
+    index = dc.Index(list(enumerate(items)))
+    for i, item in enumerate(items):
+        for edits in {0, len(item) // 10, len(item) // 10 + 1}:
+            text = dc.normal(word(40) + noisy(r, item, edits, "xyz") + word(40))
+            got = index.search(text)
+            best = {k: min(g[3] for g in got if g[0] == k) for k in {g[0] for g in got}}
+            want = {k: e for k, x in enumerate(items) if (e := brute(x, text)) <= len(x) // 10}
+            assert best == want, (i, edits)
+            assert all(distance(items[k], text[a:b]) == e for k, a, b, e in got)
+
+
+def test_every_place_of_a_short_item():
+    found = dc.Index([(1, "ab"), (2, "Answer7"), (3, "aa")]).search("abab answer7 aaa answer 7")
+    assert sorted(found) == [(1, 0, 2, 0), (1, 2, 4, 0), (2, 5, 12, 0), (3, 13, 15, 0)]
