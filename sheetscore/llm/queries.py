@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import prepare, shared_folder
 from .decontaminate import contaminated
+from .fill_middle import fill_in_middle, restored
 from .language import identify, train
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
 from .urls import url_verdicts
@@ -116,3 +119,40 @@ def op4(docs, read):
 @query("op7_nearest_neighbours", "embeddings")
 def op7(rows, read):
     return nearest_neighbours(rows)
+
+
+@query("op11_spelling_variants", "documents")
+def op11(docs, read):
+    return spelling_variants(docs)
+
+
+@query(
+    "op12_fill_in_middle",
+    "documents",
+    """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, t, n, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (n + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 AS d
+  FROM drawn
+), formed AS (
+  SELECT doc_id, t, n, CAST(least(a, b) AS BIGINT) AS p, CAST(greatest(a, b) AS BIGINT) AS q,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, '<P>' || substr(t, 1, p) AS prefix, '<M>' || substr(t, p + 1, q - p) AS middle, '<S>' || substr(t, q + 1) AS suffix FROM formed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN prefix || suffix || middle ELSE suffix || prefix || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""",
+)
+def op12(docs, read):
+    made = fill_in_middle(docs)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("form"), F.col("output"))).alias("restored_sha256"),
+    )
