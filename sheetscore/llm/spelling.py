@@ -28,6 +28,7 @@ EVERY = 97  # one run in so many loses a letter
 SYMBOLS = (4, 6, 8, 12, 16, 24, 32, 64)
 FULL = 4
 LONG = 24  # lengths from here on share one alphabet
+MOST_BITS = 30  # of the filter of codes
 MOST_CELLS = 1 << 20  # letters whose neighbourhoods are made at once
 BASE = np.uint64(xxhash.xxh64_intdigest(b"base", 42) | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -79,8 +80,10 @@ def reduced(words: list[str], table: dict[str, int]) -> np.ndarray:
 
 
 def salted(values: np.ndarray, symbols: int) -> np.ndarray:
-    """Alphabets start from different numbers."""
-    return (values + np.uint64(xxhash.xxh64_intdigest(b"%d" % symbols, 42))).view(np.int64)
+    """Alphabets start from different numbers; then all bits are mixed, one to one."""
+    mixed = values + np.uint64(xxhash.xxh64_intdigest(b"%d" % symbols, 42))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * BASE
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
 def keys_of(words: list[str], table: dict[str, int], symbols: int) -> np.ndarray:
@@ -149,6 +152,28 @@ def symbols_by_length(vocabulary: DataFrame, tables: dict[int, dict[str, int]])
     return out
 
 
+def seen_codes(index: DataFrame) -> tuple[int, np.ndarray]:
+    """(b, bits): a Bloom filter of 2 ** b bits over the keys of `index`; two bits for each, found from its ends.
+
+    Most edits give a code that no word has, and go before the shuffle. Twelve bits or more are for each key up to
+    2 ** MOST_BITS in all; beyond that more keys pass, which the join then sorts out.
+    """
+    b = min(MOST_BITS, max(15, (12 * index.count()).bit_length()))
+    place = F.explode(F.array(F.col("key").bitwiseAND((1 << b) - 1), F.shiftrightunsigned("key", 64 - b))).alias("place")
+    cells = index.select(place).groupBy(F.shiftright("place", 15).alias("cell"))
+    bits = np.zeros((1 << b - 15, 4096), np.uint8)
+    for cell, part in cells.agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(32767))).toLocalIterator():
+        bits[cell] = np.frombuffer(part, np.uint8)  # at most 2 ** MOST_BITS bits in all
+    return b, bits.ravel()
+
+
+def may_be_seen(keys: np.ndarray, b: int, bits: np.ndarray) -> np.ndarray:
+    keys = keys.view(np.uint64)
+    low, high = keys & np.uint64((1 << b) - 1), keys >> np.uint64(64 - b)
+    both = (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & (bits[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8))
+    return (both & 1).astype(bool)
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(word, n, other, m): both orders of every two words of (word, n) exactly one edit apart."""
     tables = alphabets(vocabulary)
@@ -181,13 +206,15 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         for length, rows, words in by_length(batch):
             for symbols, shorter, same in entries(length):
                 row, key = neighbourhoods(reduced(words, tables[symbols]).reshape(-1, length), symbols, shorter, same)
-                keys.append(key)
-                who.append(rows[row])
+                keep = may_be_seen(key, *shared.value)
+                keys.append(key[keep])
+                who.append(rows[row[keep]])
         place = pa.array(np.concatenate(who))
         return {"key": np.concatenate(keys), "word": batch.column(0).take(place), "n": batch.column(1).take(place)}
 
     rows = vocabulary.select("word", F.col("n").cast("long"))
-    index = arrow_map(rows, indexed, "key long, other string, m long")
+    index = written(arrow_map(rows, indexed, "key long, other string, m long"), batch=NUMBER_BATCH)
+    shared = vocabulary.sparkSession.sparkContext.broadcast(seen_codes(index))
     probes = arrow_map(rows, probed, "key long, word string, n long")
     met = probes.join(index, "key").filter((F.abs(F.length("word") - F.length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1))
     # two words may meet under several codes

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,13 @@ def test_neighbourhoods_are_all_codes_one_edit_away(symbols):
             less = {w[:k] + w[k + 1 :] for k in range(5)}
             rest = {w[:k] + c + w[k + 1 :] for k in range(5) for c in table} | {w[:k] + c + w[k:] for k in range(6) for c in table}
             assert sorted(key[row == i].tolist()) == keys((less if shorter else set()) | (rest if same else set()))
+
+
+@pytest.mark.parametrize("most", [15, 30])
+def test_filter_keeps_every_code(spark, monkeypatch, most):
+    monkeypatch.setattr(spelling, "MOST_BITS", most)
+    r = random.Random(1)
+    keys = [r.randrange(-(1 << 63), 1 << 63) for _ in range(9000)]
+    b, bits = spelling.seen_codes(spark.createDataFrame([(k,) for k in keys[:5000]], "key long"))
+    passed = spelling.may_be_seen(np.array(keys), b, bits)
+    assert passed[:5000].all() and (most == 15 or passed[5000:].mean() < 0.1)
