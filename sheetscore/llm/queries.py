@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import prepare, shared_folder
 from .decontaminate import contaminated
 from .fill_middle import fill_in_middle, restored
+from .html_extract import extract_text
 from .language import identify, train
 from .licenses import license_scan
 from .line_dedup import line_dedup
@@ -156,3 +157,8 @@ def op12(docs, read):
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("form"), F.col("output"))).alias("restored_sha256"),
     )
+
+
+@query("op13_html_text", "pages")
+def op13(pages, read):
+    return extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
