@@ -107,12 +107,13 @@ def blocks(page: str) -> list[Block]:
             close(len(stack) - 1)
         if tag in CLOSES:
             same, holders = CLOSES[tag]
+            outermost = len(stack)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in holders:
                     break
                 if stack[i][0] in same:
-                    close(i)
-                    break
+                    outermost = i
+            close(outermost)
         stack.append((tag, _element(tag, attributes)))
         path = (*path, stack[-1][1])
     add(page[at:])

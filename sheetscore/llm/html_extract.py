@@ -24,7 +24,7 @@ from .labelled_pages import labelled_pages
 from .language import forward_backward
 
 TABLE = 1 << 16
-PAGES = 800  # labelled pages to learn from
+PAGES = 1200  # labelled pages to learn from
 MOST_WORDS = 12  # of a block whose words are features
 REMEMBERED = 200_000  # paths, and features, of a worker
 SEPARATOR = "\n\n"
@@ -131,7 +131,7 @@ class Model:
         return SEPARATOR.join(b.text for b, main in zip(found, self.main(found)) if main)
 
 
-def fit(pages: Iterable[tuple[str, list[bool]]], rounds: int = 4, rate: float = 0.2, decay: float = 1e-4, batch: int = 16, seed: int = 5) -> Model:
+def fit(pages: Iterable[tuple[str, list[bool]]], rounds: int = 5, rate: float = 0.4, decay: float = 1e-5, batch: int = 16, seed: int = 5) -> Model:
     """Maximum likelihood by AdaGrad on (html, whether each leaf block is main text)."""
     rows = []
     for page, labels in pages:

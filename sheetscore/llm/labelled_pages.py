@@ -80,7 +80,7 @@ class Page:
         if kind == "menu" or (kind in ("footer", "sidebar", "share", "header") and form < 0.4):
             self.html.append("<ul>")
             for _ in range(r.randint(2, 8)):
-                self.block("li", self.link(r.choice(phrases) if r.random() < 0.3 else self.words(1, 4).capitalize()), False)
+                self.block("li", self.link((r.choice(phrases) if r.random() < 0.3 else self.words(1, 4).capitalize()) + r.choice(["", "", "", ".", ",", "!"])), False)
             self.html.append("</ul>")
         elif kind == "form":
             for _ in range(r.randint(1, 4)):
@@ -95,7 +95,7 @@ class Page:
             if r.random() < 0.4:
                 self.block(r.choice(["h2", "h3", "h4", "p"]), r.choice(phrases), False)
             for _ in range(r.randint(1, 3)):
-                text = r.choice(phrases) if bare or r.random() < 0.3 else self.words(1, 6).capitalize() if r.random() < 0.3 else self.sentences(1, 4)
+                text = r.choice(phrases) if bare or r.random() < 0.3 else self.words(1, 6).capitalize() if r.random() < 0.3 else self.sentences(1, r.choice([2, 4, 9]))
                 if r.random() < 0.3:
                     text = self.link(text)
                 if r.random() < 0.5 and not bare:
@@ -134,7 +134,7 @@ class Page:
                         self.block("td", self.words(1, 3), True)
                     self.html.append("</tr>")
                 self.html.append("</table>")
-            elif form < 0.24 and self.style != "bare":
+            elif form < 0.3 and self.style != "bare":
                 self.part(r.choice(["advert", "share", "notice", "sidebar", "menu", "form"]))
             else:
                 short = r.random()
