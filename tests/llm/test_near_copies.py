@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import table
 
 import corpus_pipeline
 from sheetscore.llm.common import prepare
+from sheetscore.llm.minhash import forest, near_copies
 from sheetscore.llm.simhash import drop_near_duplicates
 
 
@@ -80,3 +82,44 @@ def test_given_documents_keep_no_near_copy(spark, folder):
     pairs, want = near_pairs([r.text for r in rows])
     assert pairs > 10
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [rows[i].doc_id for i in want]
+
+
+def family(n=260, seed=4):
+    """Copies of one text with more and fewer edits: most pairs lie below 0.8, some copies are linked to none."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(9)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("most", [{}, {"most_rows": 30, "most_grams": 3000}])
+def test_large_families(spark, most):
+    texts = family()
+    pairs, want = near_pairs(texts)
+    found = near_copies(table(spark, texts).repartition(3), **most).collect()
+    assert sorted(r.doc_id for r in found if r.doc_id == r.root) == want
+    assert len(want) > 5 and pairs > 2000
+
+
+def test_forest_ties_what_all_links_tie():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        base = r.integers(0, 60, 40)
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(20, 40)), r.integers(0, 200, 3)])).astype(np.uint64) for _ in range(25)]
+        near = lambda x, y: len(np.intersect1d(x, y)) >= 0.6 * len(np.union1d(x, y)) - 1e-9
+        given = r.integers(0, 12, 25).tolist()
+
+        def tied(links):
+            root = list(given)
+            for i, j in links:
+                root = [root[i] if x == root[j] else x for x in root]
+            return {(i, j) for i in range(25) for j in range(25) if root[i] == root[j]}
+
+        got = forest(sets, given, 0.6)
+        assert all(near(sets[i], sets[j]) for i, j in got) and len(got) < 12
+        assert tied(got) == tied([(i, j) for i in range(25) for j in range(i) if near(sets[i], sets[j])])

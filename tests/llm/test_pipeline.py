@@ -2,7 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
-from test_dedup import brute_groups, brute_lines, plain_fingerprint
+from test_dedup import brute_lines
+from test_near_copies import near_pairs
 from test_tokens import check_packing, whole
 
 import corpus_pipeline
@@ -41,13 +42,13 @@ def test_run_matches_brute_force(spark, tmp_path, extra):
     texts = {d: t for d, t in texts.items() if (p := model.predict([t or ""]))[0] != ["und"] and p[1][0] >= 0.3}
     ids = list(texts)
     texts = {ids[i]: row[0] for i, row in brute_lines(list(texts.values())).items()}
-    roots = brute_groups([plain_fingerprint(t) for t in texts.values()])
-    texts = {d: t for i, (d, t) in enumerate(texts.items()) if roots[i] == i}
-    items = [(len(c), c) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(c := dc.points(dc.normal(r.text))) >= dc.Q]
+    kept = set(near_pairs(list(texts.values()))[1])  # five words, 0.8
+    texts = {d: t for i, (d, t) in enumerate(texts.items()) if i in kept}
+    items = [(len(c), c) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(c := dc.points(dc.normal(r.text)))]
     clean = {}
     for d, t in texts.items():
         code = dc.points(dc.normal(t))
-        if not any(least_edits(c, code) <= min(n // 10, (n - dc.Q) // dc.Q) for n, c in items):
+        if not any(least_edits(c, code) <= n // 10 for n, c in items):
             clean[d] = t
     want = {}
     for d, ids in zip(clean, whole(clean.values())):
