@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.prefix import sequential_ids
 from ..session import configure
 
 # Rows of an Arrow batch: of whole texts, and of a few numbers each.
@@ -63,6 +64,21 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((doc_id, text binary) with unique ids, (doc_id, given)) of (doc_id, text, ...).
+
+    Ids that are given once each are kept, and the second part is None. Else all rows are numbered in the order of
+    their ids, null ids last and equal ids by their texts, and `given` is what a number stands for.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    if not rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").take(1):
+        return rows, None
+    rows = rows.withColumnRenamed("doc_id", "given")
+    order = [F.col("given").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc()]
+    rows = written(sequential_ids(rows, order, "doc_id", max_rows=1000))
+    return rows.select("doc_id", "text"), rows.select("doc_id", "given")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow by a function from one batch to a dict of columns (None: no rows)."""
     target = to_arrow_schema(T.StructType.fromDDL(schema))

@@ -31,9 +31,9 @@ SHARD_ROWS = 20_000
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding) that take part: not null, finite, not zero, and of the most frequent length."""
+    """(vec_id, embedding) that take part: with an id, not null, finite, not zero, and of the most frequent length."""
     finite = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)")
-    rows = rows.select(F.col("vec_id").cast("long"), "embedding").filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
+    rows = rows.select(F.col("vec_id").cast("long"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.filter(F.size("embedding") == (size["n"] if size else 0))
 
@@ -227,7 +227,7 @@ def nearest_neighbours(rows: DataFrame, every: int = 100, k: int = 10, radius: i
     """-> (query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k nearest others.
 
     rows: (vec_id, embedding, ...), vec_id unique. score is the Euclidean distance in double precision; ties go
-    to the smaller vec_id. All candidates are returned if there are fewer than k. Vectors that are null, zero, or
+    to the smaller vec_id. All candidates are returned if there are fewer than k. Vectors that have no id, are null, zero, or
     hold a null or a value that is not finite, and those of another length than most, take no part. Equal vectors are
     indexed by their k + 1 smallest ids: no answer can hold another of them. A query that the learned radius
     leaves short is asked again without one. Other columns are not read; an empty table gives no rows.

@@ -103,7 +103,7 @@ def packed(rows: DataFrame, parts: int, turn: int, capacity: int, loose: float)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(own.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")),
-                        pa.array((turn << 56) + (part << 24) + bins, pa.int64()),
+                        pa.array((turn << 48) + (part << 24) + bins, pa.int64()),
                         pa.array(offsets, pa.int64()),
                         pa.array(again[bins], pa.bool_()),
                     ],
@@ -114,7 +114,7 @@ def packed(rows: DataFrame, parts: int, turn: int, capacity: int, loose: float)
     return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, PLACED)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = 50_000, turns: int = 4, loose: float = 0.05) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = 50_000, loose: float = 0.05) -> DataFrame:
     """-> (doc_id, piece, start, length, ids_crc32, sequence_id, offset) for pieces of 1 to `capacity` tokens.
 
     Offsets in a sequence run from 0 without gaps. part_rows: pieces of one partition, about;
@@ -127,7 +127,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = 50_000, tur
         lengths[length] = n
     bound = lower_bound(lengths)
     placed = written(packed(rows, max(1, -(-int(lengths.sum()) // part_rows)), 0, capacity, loose))
-    for turn in range(1, turns + 1):
+    turn = 0
+    while True:  # the total falls in every turn but the last
+        turn += 1
         total, n, used = placed.agg(
             F.count_if(F.col("offset") == 0), F.count_if("open"), F.count_if(F.col("open") & (F.col("offset") == 0))
         ).first()
@@ -135,10 +137,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = 50_000, tur
             break
         parts = max(1, -(-n // part_rows))
         again = written(packed(placed.filter("open"), parts, turn, capacity, loose))
-        if again.filter("offset = 0").count() < used:
-            placed = placed.filter("NOT open").unionByName(again)
-        elif parts == 1:
+        if again.filter("offset = 0").count() >= used:
             break
+        placed = written(placed.filter("NOT open").unionByName(again))
     return placed.drop("open")
 
 

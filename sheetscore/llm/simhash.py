@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import checked_broadcast
-from .common import NUMBER_BATCH, arrow_map, components, runs, text_bytes, whole_groups, written
+from .common import NUMBER_BATCH, arrow_map, components, numbered, runs, text_bytes, whole_groups, written
 from .minhash import SIMILARITY, WORDS, near_copies
 
 BITS = 64
@@ -242,14 +242,23 @@ def simhash_groups(
     """-> (doc_id, fingerprint, component_id) of every document of (doc_id, text, ...).
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that links reach, its own
-    included. Null and empty texts have fingerprint zero and are linked like any other; an empty table
-    gives no rows; other columns of `docs` are not read.
+    included. Null and empty texts have fingerprint zero and are linked like any other; rows without an id link
+    others, and have a null component_id if no row of theirs has an id. An empty table gives no rows; other columns
+    of `docs` are not read.
     """
+    given = None
+    if docs.filter("doc_id IS NULL").take(1):
+        docs, given = numbered(docs)
     fps = written(fingerprints(docs, words))
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), batch=NUMBER_BATCH)
     roots = components(links(nodes, radius, partitions, bucket_rows))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    if given is None:
+        return out
+    first = given.toDF("component_id", "least")  # the least number of a component stands for its smallest id
+    out = out.join(given, "doc_id").join(first, "component_id")
+    return out.select(F.col("given").alias("doc_id"), "fingerprint", F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import checked_broadcast
-from .common import NUMBER_BATCH, arrow_map, runs, text_bytes, whole_groups, written
+from .common import NUMBER_BATCH, arrow_map, numbered, runs, whole_groups, written
 
 WIDTH, GRAM = 100, 32
 CHUNK = 1 << 19  # starts handled at once
@@ -235,9 +235,9 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, k: int = GRAM, with_kept:
     Every byte goes that a string of `width` bytes covers which also starts earlier, judged on the input;
     strings never cross documents. spans: (first, last) of the maximal removed runs, last excluded. A null
     text counts as an empty one; shorter texts lose nothing; an empty table gives no rows; other columns
-    are not read; doc_id must be unique.
+    are not read. Of rows with one id those with the smaller text hash come first, and rows without an id last.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    texts, given = numbered(docs)
     spans = duplicate_spans(texts, width, k, **options).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -252,4 +252,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, k: int = GRAM, with_kept:
         return out
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
-    return arrow_map(texts.join(spans, "doc_id", "left"), cut, schema + ", kept binary" * with_kept)
+    out = arrow_map(texts.join(spans, "doc_id", "left"), cut, schema + ", kept binary" * with_kept)
+    if given is None:
+        return out
+    return out.join(given, "doc_id").withColumn("doc_id", F.col("given")).select(out.columns)

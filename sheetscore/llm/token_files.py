@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from .tokens import VOCABULARY, ids_of
 STEP = 128  # tokens between checkpoints
 BLOCK_TOKENS = 1 << 18  # a block ends with the document that reaches it
 MAX_LENGTH = 16
+ESCAPE = 0xFFFF
 SHARD_TOKENS = 1 << 26  # of a file, about
 BLOCK = (
     "shard long, block long, first long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, n_tokens long, "
@@ -125,38 +125,70 @@ def lanes(tokens: np.ndarray) -> np.ndarray:
     return counts
 
 
-def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n, ids): ids with the end id; their low, middle and high bytes stand apart and are compressed."""
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids as 16-bit words; one of ESCAPE or more is ESCAPE and its two halves."""
+    if ids.max(initial=0) < ESCAPE:
+        return ids.astype("<u2").tobytes()
+    wide = ids >= ESCAPE
+    at = np.cumsum(1 + 2 * wide) - 1  # where each one ends
+    out = np.zeros(int(at[-1]) + 1, "<u2")
+    out[at[~wide]] = ids[~wide]
+    out[at[wide] - 2] = ESCAPE
+    out[at[wide] - 1] = ids[wide] >> 16
+    out[at[wide]] = ids[wide] & 0xFFFF
+    return out.tobytes()
+
+
+def widened(words: bytes) -> np.ndarray:
+    ids = np.frombuffer(words, "<u2")
+    if not (ids == ESCAPE).any():
+        return ids.astype("<u4")
+    data, out, at = ids.tolist(), [], 0
+    while at < len(data):
+        if data[at] == ESCAPE:
+            out.append(data[at + 1] << 16 | data[at + 2])
+            at += 3
+        else:
+            out.append(data[at])
+            at += 1
+    return np.array(out, "<u4")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        ids = ids_of(batch.column(1).to_pylist(), vocabulary)
-        planes = [squeeze.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in ids]
-        return {"doc_id": batch.column(0), "n": [len(x) for x in ids], "ids": planes}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes()), run, "doc_id long, n long, ids binary")
+def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n, ids): ids with the end id as `narrow` words; and for each task rows with n = -1: its ids and how often they occur.
 
+    The ids of these rows are those that the task met, as 32-bit words, behind their counts, as 64-bit words.
+    """
 
-def unplaned(blob: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = ids_of(batch.column(1).to_pylist(), vocabulary)
+            n = np.bincount(np.concatenate(ids))
+            if len(n) > len(total):
+                n, total = total, n.astype(np.int64)
+            total[: len(n)] += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(map(narrow, ids), pa.binary())], names=["doc_id", "n", "ids"])
+        used = np.flatnonzero(total)
+        counts = total[used].astype("<i8").tobytes() + used.astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([counts], pa.binary())], names=["doc_id", "n", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def id_counts(rows: DataFrame, most: int = 1 << 20) -> np.ndarray:
+def id_counts(tasks: DataFrame, most: int = 1 << 20) -> np.ndarray:
     """How often each id occurs in all documents: one number per vocabulary entry comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                n = np.bincount(unplaned(blob.as_py()))
-                if len(n) > len(total):
-                    n, total = total, n.astype(np.int64)
-                total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
+                data = blob.as_py()
+                n = len(data) // 12
+                yield pa.RecordBatch.from_pydict({"id": np.frombuffer(data[8 * n :], "<u4").astype(np.int64), "n": np.frombuffer(data[: 8 * n], "<i8")})
 
-    found = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).limit(most + 1).collect()
+    found = tasks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} different ids")
     counts = np.zeros(1 + max((r["id"] for r in found), default=0), np.int64)
@@ -169,10 +201,12 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     """Writes the ids of whole texts of (doc_id, text, ...) to `folder`, in ascending doc_id order.
 
     A null text counts as an empty one: the end id alone. An empty table gives empty files. Texts are encoded once;
-    their ids wait in a written table until the counts of all documents are known. doc_id must be unique.
+    their ids wait in a written table until the counts of all documents are known. Rows without an id stand behind
+    all others; those with one id follow each other by their numbers of ids and codes.
     """
-    rows = written(token_rows(docs, vocabulary), codec="none")
-    lengths = code_lengths(id_counts(rows), limit)
+    both = written(token_rows(docs, vocabulary), codec="none")
+    rows = both.filter("n >= 0")
+    lengths = code_lengths(id_counts(both.filter("n < 0")), limit)
     codes = canonical(lengths)
     spark = docs.sparkSession
     spark.createDataFrame(
@@ -183,9 +217,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     edges = np.unique(np.array(edges or [], np.int64))
 
     def coded(batch: pa.RecordBatch) -> dict:
-        done = [encode(unplaned(x.as_py()), codes, lengths) for x in batch.column(2)]
+        done = [encode(widened(x.as_py()), codes, lengths) for x in batch.column(2)]
+        shard = np.searchsorted(edges, batch.column(0).fill_null(0).to_numpy())
         return {
-            "shard": np.searchsorted(edges, batch.column(0).to_numpy()), "doc_id": batch.column(0), "n": batch.column(1),
+            "shard": np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), len(edges), shard), "doc_id": batch.column(0), "n": batch.column(1),
             "bits": [x[0] for x in done], "checkpoints": [x[1] for x in done],
         }
 
@@ -214,7 +249,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
             yield full()
 
     done = arrow_map(rows, coded, "shard int, doc_id long, n long, bits binary, checkpoints array<long>")
-    done.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCK).write.option(
+    done.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n", "bits").mapInArrow(blocks, BLOCK).write.option(
         "compression", "none"
     ).parquet(f"{folder}/blocks")
 
