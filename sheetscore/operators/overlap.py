@@ -24,8 +24,8 @@ def _level(side: Column) -> Column:
     return F.floor(F.log2(side)).cast("int")
 
 
-def _grid_join(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> DataFrame:
-    """Equi join on cells sized like the boxes themselves.
+def _grid(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys and cells, sized like the boxes themselves, on which partners meet.
 
     Boxes that overlap by `thr` have sides within a factor 1/thr and centres
     within (1 - thr) of the longer side. A prediction sits in the one cell of
@@ -51,8 +51,20 @@ def _grid_join(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> DataF
         t = t.withColumn(
             f"_c{name}", F.explode(F.sequence(F.floor((centre - reach) / cell), F.floor((centre + reach) / cell)))
         )
-    cells = ["_lx", "_ly", "_cx", "_cy"]
-    joined = p.join(t, [*keys, *cells])
+    return p, t, [*keys, "_lx", "_ly", "_cx", "_cy"]
+
+
+def grid_meetings(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> int:
+    """How many pairs the grid join looks at, from the counts of its cells."""
+    p, t, on = _grid(p, t, keys, thr)
+    both = p.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(t.groupBy(*on).agg(F.count(F.lit(1)).alias("_m")), on)
+    return both.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
+
+
+def grid_join(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> DataFrame:
+    """-> (keys, p, t) of the pairs that overlap by `thr`."""
+    p, t, on = _grid(p, t, keys, thr)
+    joined = p.join(t, on)
     return joined.filter(overlapping(F.col("p"), F.col("t"), thr).isNotNull()).select(*keys, "p", "t")
 
 
@@ -75,7 +87,7 @@ def iou_join(
             .join(t, t_keys)
             .filter(overlap.isNotNull())
             .select(*keys, "p", "t")
-            .unionByName(_grid_join(p.join(big_keys, keys, "left_semi"), t.join(big_keys, t_keys), keys, thr))
+            .unionByName(grid_join(p.join(big_keys, keys, "left_semi"), t.join(big_keys, t_keys), keys, thr))
         )
     return pairs.select(*keys, "p", "t", overlap.alias("iou"))
 
@@ -125,7 +137,7 @@ def _best_large(pred: DataFrame, gt: DataFrame, thr: float, keys: list[str], t_k
     # any overlap that reaches `thr` beats all that do not (padding only lowers a value)
     padded = overlapping(F.col("p"), F.col("t"), thr, eps=EPS)
     best = (
-        _grid_join(p, t, keys, thr)
+        grid_join(p, t, keys, thr)
         .filter(padded.isNotNull())
         .groupBy(*keys, "p")
         .agg(F.max(F.struct(padded.alias("v"), (-F.col("t.gt_idx")).alias("g"))).alias("_best"))
