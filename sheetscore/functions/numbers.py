@@ -67,10 +67,15 @@ def _rounded(v: Column, digits: int) -> tuple[Column, Column]:
 
 
 def exact_round(v: Column, digits: int) -> Column:
-    """Python's round(v, digits)."""
-    whole, part = _rounded(v, digits)
+    """Python's round(v, digits).
+
+    From 2^53 / 10^digits on, neighbouring doubles lie further apart than the decimals: such a value is its own
+    rounding, as are infinities and NaN.
+    """
+    fine = F.abs(v) < F.lit(2.0**53 / 10**digits)
+    whole, part = _rounded(F.when(~fine, F.lit(0.0)).otherwise(v), digits)
     size = (whole * 10**digits + part) / F.lit(float(10**digits))
-    return F.when(v < 0, -size).otherwise(size)
+    return F.when(~fine, v).when(v < 0, -size).otherwise(size)
 
 
 def fixed(v: Column, digits: int) -> Column:

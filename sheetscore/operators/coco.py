@@ -11,16 +11,22 @@ from ..functions.text import stem
 from .groups import checked_broadcast
 
 
+def known(found: Column) -> Column:
+    """What a box's category leads to; without any the job stops, and no box is lost in silence."""
+    name = F.coalesce(F.col("category_id").cast("string"), F.lit("null"))
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("box of unknown category "), name))).otherwise(found)
+
+
 def remap_categories(categories: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lower-case the names, keep the first id of equal ones, point annotations at it.
 
-    `categories` carries `pos`, its place in the document.
+    `categories` carries `pos`, its place in the document. A box of an unknown category is an error.
     """
     named = categories.withColumn("name", F.lower("name"))
     first = named.groupBy("name").agg(F.min_by("id", "pos").alias("id"), F.min("pos").alias("pos"))
     moved = named.select(F.col("id").alias("category_id"), "name").join(first.select("name", F.col("id").alias("_to")), "name")
     moved = checked_broadcast(moved.select("category_id", "_to"))
-    kept = annotations.join(moved, "category_id").withColumn("category_id", F.col("_to")).drop("_to")
+    kept = annotations.join(moved, "category_id", "left").withColumn("category_id", known(F.col("_to"))).drop("_to")
     return first.select("id", "name", "pos"), kept
 
 
@@ -63,11 +69,12 @@ def yolo_rows(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     """One label line per box with a positive size -> (stem, label_path, id, line).
 
     label_path is the picture's path without its extension: pictures of one name in two folders stay apart.
+    A box of an unknown category is an error.
     """
     index = checked_broadcast(class_index(categories).select(F.col("id").alias("category_id"), "class_index"))
     sized = images.select(F.col("id").alias("image_id"), stem(F.col("file_name")).alias("stem"), label_path(F.col("file_name")).alias("label_path"), "width", "height")
     real = annotations.filter((F.col("bbox")[2] > 0) & (F.col("bbox")[3] > 0))
-    rows = real.join(index, "category_id").join(sized, "image_id")
+    rows = real.join(index, "category_id", "left").withColumn("class_index", known(F.col("class_index"))).join(sized, "image_id")
     shares = yolo_box(F.col("bbox"), F.col("width"), F.col("height"))
     return rows.select("stem", "label_path", "id", F.concat_ws(" ", F.col("class_index").cast("string"), *[fixed(c, 6) for c in shares]).alias("line"))
 

@@ -6,6 +6,7 @@ imports never travel from the driver.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -14,12 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DETECTED = "pred_idx int, label int, x1 double, y1 double, x2 double, y2 double, score double"
+DETECTED = "pred_idx int, label int, x1 double, y1 double, x2 double, y2 double, score double, n_found int"
+# Fixed value: boxes of one picture that a detector is asked for.
+MAX_DET = 1000
 READ = "read_idx int, text string, confidence double"
 
 
-def predict_batches(images: DataFrame, load: Callable[[], Callable], keep: list[str], conf: float = 0.001, imgsz: int = 640) -> DataFrame:
-    """Detector contract: predict(rows, conf, imgsz) -> [{boxes, scores, labels}] per row."""
+def best_places(scores: list[float], most: int) -> list[int]:
+    """Places of the `most` best scores, in listed order; equal scores: the first ones. A heap of bounded size."""
+    if len(scores) <= most:
+        return list(range(len(scores)))
+    return sorted(heapq.nsmallest(most, range(len(scores)), key=lambda i: (-float(scores[i]), i)))
+
+
+def predict_batches(
+    images: DataFrame, load: Callable[[], Callable], keep: list[str], conf: float = 0.001, imgsz: int = 640, max_det: int = MAX_DET
+) -> DataFrame:
+    """Detector contract: predict(rows, conf, imgsz, max_det) -> [{boxes, scores, labels}] per row.
+
+    A detector may stop at `max_det` boxes of a picture itself. Of one that returns more the best are kept, under their
+    own pred_idx, and n_found tells how many it returned: a picture with n_found above max_det was cut.
+    """
     schema = T.StructType([*[images.schema[c] for c in keep], *T.StructType.fromDDL(DETECTED)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,13 +43,13 @@ def predict_batches(images: DataFrame, load: Callable[[], Callable], keep: list[
         for batch in batches:
             rows = batch.to_dict("records")
             try:
-                found = predict(rows, conf, imgsz)
+                found = predict(rows, conf, imgsz, max_det)
             except Exception:  # a detector that cannot batch gets its pictures one by one
-                found = [predict([row], conf, imgsz)[0] for row in rows]
+                found = [predict([row], conf, imgsz, max_det)[0] for row in rows]
             out = [
-                (*[row[c] for c in keep], i, int(label), *map(float, box), float(score))
+                (*[row[c] for c in keep], i, int(one["labels"][i]), *map(float, one["boxes"][i]), float(one["scores"][i]), len(one["boxes"]))
                 for row, one in zip(rows, found)
-                for i, (box, score, label) in enumerate(zip(one["boxes"], one["scores"], one["labels"]))
+                for i in best_places(one["scores"], max_det)
             ]
             yield pd.DataFrame(out, columns=schema.names)
 

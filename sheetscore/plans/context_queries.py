@@ -121,7 +121,7 @@ def replies(s: Source):
 
 
 def _frame_detector():
-    def predict(rows, conf, imgsz):
+    def predict(rows, conf, imgsz, max_det):
         return [{"boxes": [(0, 0, r["width"], r["height"]), (1, 1, 5, 5)], "scores": [0.9, 0.4], "labels": [0, 1]} for r in rows]
 
     return predict
@@ -132,6 +132,22 @@ def predicted(s: Source):
     return predict_batches(s.sql(SIZES), _frame_detector, ["image"]).select("image", "pred_idx", "label", "x2", "score")
 
 
+def _crowd_detector():
+    def predict(rows, conf, imgsz, max_det):
+        """As many boxes as the picture's width says, with scores in steps; boxes beyond what was asked for come as well."""
+        return [{"boxes": [(i, 0, i + 5, r["height"]) for i in range(r["width"] % 13)], "scores": [(i * 7 % 5) / 5 for i in range(r["width"] % 13)], "labels": [0] * (r["width"] % 13)} for r in rows]
+
+    return predict
+
+
+@query("predict_at_most", with_inputs("""SELECT image, pred_idx, x1, score, n_found FROM (
+SELECT image, i AS pred_idx, CAST(i AS DOUBLE) AS x1, (i * 7 % 5) / 5 AS score, CAST(width % 13 AS BIGINT) AS n_found, row_number() OVER (PARTITION BY image ORDER BY i * 7 % 5 DESC, i) AS n
+FROM (SELECT image, width, unnest(range(width % 13)) AS i FROM s) AS q) AS r WHERE n <= 3""", s=SIZES))
+def predicted_at_most(s: Source):
+    out = predict_batches(s.sql(SIZES), _crowd_detector, ["image"], max_det=3)
+    return out.select("image", F.col("pred_idx").cast("long").alias("pred_idx"), "x1", "score", F.col("n_found").cast("long").alias("n_found"))
+
+
 def _upper_reader():
     return lambda rows: [[(r["text"].upper(), 0.8)] for r in rows]
 

@@ -124,7 +124,7 @@ def _match(body: str) -> str:
 round(char_edits / gt_chars, 6) AS cer, round(exact / n_gt, 6) AS exact_match, round(matched_pred / n_pred, 6) AS precision, round(found / n_gt, 6) AS recall,
 round(2 * (matched_pred / n_pred) * (found / n_gt) / (matched_pred / n_pred + found / n_gt), 6) AS f1 FROM sc"""))
 def strings(s: Source):
-    out = string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))
+    out = string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True), result_images(s.sql(STRING_PRED)))
     return out.select("run_id", "char_edits", "gt_chars", "exact", "found", "n_gt", "matched_pred", "n_pred", "evaluated_images",
                       *r6("cer", "exact_match", "precision", "recall", "f1"))
 
@@ -139,18 +139,18 @@ FROM (SELECT run_id, {_GW} AS g, {_MW} AS p FROM m) AS q GROUP BY run_id"""
 
 @query("string_word_errors", _match(WORD_EDITS))
 def word_errors(s: Source):
-    return string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True)).select("run_id", "word_edits", "gt_words", *r6("wer"))
+    return string_scores(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True), result_images(s.sql(STRING_PRED))).select("run_id", "word_edits", "gt_words", *r6("wer"))
 
 
 @query("string_detail", _match("SELECT run_id, image, gt_idx, text, match, found, round(least(dist, chars) / greatest(1, chars), 6) AS cer FROM m"))
 def truth_detail(s: Source):
-    return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))[0].select("run_id", "image", "gt_idx", "text", "match", "found", *r6("cer"))
+    return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True), result_images(s.sql(STRING_PRED)))[0].select("run_id", "image", "gt_idx", "text", "match", "found", *r6("cer"))
 
 
 @query("string_extras", _match("""SELECT p.run_id, p.image, p.pred_idx, p.text, m.pred_idx IS NOT NULL AS matched FROM preds p
 LEFT JOIN m ON m.run_id = p.run_id AND m.image = p.image AND m.pred_idx = p.pred_idx AND m.found"""))
 def extras(s: Source):
-    return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True))[1]
+    return string_detail(s.sql(STRING_GT, heavy=True), s.sql(STRING_PRED, heavy=True), result_images(s.sql(STRING_PRED)))[1]
 
 
 # a run that left every image with a large part number empty, with its list of results
@@ -194,13 +194,13 @@ def _bags(body: str, gt: str = PAGE_GT, pred: str = PAGE_PRED) -> str:
 
 @query("word_overlap_documents", _bags("SELECT * FROM bag"))
 def page_words(s: Source):
-    return word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True))
+    return word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True), result_images(s.sql(PAGE_PRED)))
 
 
 @query("word_coverage_documents", _bags("""SELECT run_id, count(*) AS evaluated_images, CAST(sum(n_gt_words) AS BIGINT) AS n_gt_words, CAST(sum(matched_words) AS BIGINT) AS matched_words,
 round(sum(matched_words) / sum(n_gt_words), 6) AS word_coverage, round(sum(matched_words) / sum(n_pred_words), 6) AS word_precision FROM bag GROUP BY run_id"""))
 def page_coverage(s: Source):
-    out = word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True)).groupBy("run_id").agg(
+    out = word_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True), result_images(s.sql(PAGE_PRED))).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("evaluated_images"), *[F.sum(c).alias(c) for c in ("n_gt_words", "n_pred_words", "matched_words")])
     return out.select("run_id", "evaluated_images", "n_gt_words", "matched_words", F.round(F.col("matched_words") / F.col("n_gt_words"), 6).alias("word_coverage"),
                       F.round(F.col("matched_words") / F.col("n_pred_words"), 6).alias("word_precision"))
@@ -217,14 +217,14 @@ def page_words_with_empty_results(s: Source):
 
 @query("word_overlap_chats", _bags("SELECT * FROM bag", CHAT_GT, CHAT_PRED))
 def chat_words(s: Source):
-    return word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
+    return word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True), result_images(s.sql(CHAT_PRED)))
 
 
 @query("token_flags", _bags("""SELECT s.run_id, g.image, g.gt_idx, g.pos, g.token,
 row_number() OVER (PARTITION BY s.run_id, g.image, g.token ORDER BY g.gt_idx, g.pos) <= coalesce(p.cp, 0) AS matched
 FROM gtok g JOIN seen s USING (image) LEFT JOIN pc p ON p.run_id = s.run_id AND p.image = g.image AND p.token = g.token""", CHAT_GT, CHAT_PRED))
 def flags(s: Source):
-    return token_flags(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
+    return token_flags(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True), result_images(s.sql(CHAT_PRED)))
 
 
 @query("tokens", with_inputs(f"SELECT image, gt_idx, array_to_string({TOKENS}, ' ') AS tokens FROM gt", gt=PAGE_GT))
@@ -240,13 +240,13 @@ def folded(s: Source):
 @query("char_overlap_documents")
 def page_chars(s: Source):
     """Longest common subsequence over whole pages; tested against a table method."""
-    return char_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True))
+    return char_overlap(s.sql(PAGE_GT, heavy=True), s.sql(PAGE_PRED, heavy=True), result_images(s.sql(PAGE_PRED)))
 
 
 @query("whole_text_scores")
 def whole(s: Source):
     """Word and character coverage with the string metrics, per run."""
-    out = whole_text_scores(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True))
+    out = whole_text_scores(s.sql(CHAT_GT, heavy=True), s.sql(CHAT_PRED, heavy=True), result_images(s.sql(CHAT_PRED)))
     return out.select("run_id", "evaluated_images", "n_gt_words", "n_pred_words", "matched_words", "lcs", "gt_chars",
                       *r6("word_coverage", "char_coverage", "word_precision", "cer", "wer", "exact_match"))
 
@@ -258,6 +258,6 @@ APPROACHES = """SELECT CASE turn % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'crop' ELSE
 round(max(c) FILTER (run_id = 'crop'), 6) AS crop, round(max(c) FILTER (run_id = 'gtcrop') - max(c) FILTER (run_id = 'crop'), 6) AS detection_cost,
 arg_max(run_id, (c, run_id)) AS best_approach FROM (SELECT run_id, sum(matched_words) / sum(n_gt_words) AS c FROM bag GROUP BY run_id) AS q""", CHAT_GT, APPROACHES))
 def cost(s: Source):
-    per_run = word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(APPROACHES, heavy=True)).groupBy("run_id").agg((F.sum("matched_words") / F.sum("n_gt_words")).alias("word_coverage"))
+    per_run = word_overlap(s.sql(CHAT_GT, heavy=True), s.sql(APPROACHES, heavy=True), result_images(s.sql(APPROACHES))).groupBy("run_id").agg((F.sum("matched_words") / F.sum("n_gt_words")).alias("word_coverage"))
     out = detection_cost(per_run.select(F.lit("ocr").alias("ocr_model"), F.col("run_id").alias("approach"), "word_coverage"))
     return out.select("ocr_model", *r6("full", "gtcrop", "crop", "detection_cost"), "best_approach")

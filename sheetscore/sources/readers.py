@@ -188,7 +188,8 @@ def read_field_key(spark: SparkSession, *paths: str) -> DataFrame:
 def read_training_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Every run's results.csv -> (run_dir, pos, map50, precision, recall).
 
-    Columns go by the names in each file's own header; logs differ in their columns.
+    Columns go by the names in each file's own header; logs differ in their columns. Cells beyond the header
+    (a trailing comma) are cut off, missing ones are null.
     """
     files = (
         spark.read.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "results.csv")
@@ -197,8 +198,8 @@ def read_training_metrics(spark: SparkSession, root: str) -> DataFrame:
     cells = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(x))
     lines = files.select("_path", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
     rows = lines.select("_path", cells(F.col("l")[0]).alias("head"), F.explode(F.slice("l", 2, F.size("l"))).alias("line"))
-    by_name = F.map_from_entries(F.arrays_zip("head", cells(F.col("line"))))
-    rows = rows.filter(F.size("head") >= F.size(cells(F.col("line")))).select("_path", by_name.alias("m"))
+    by_name = F.map_from_entries(F.arrays_zip("head", F.slice(cells(F.col("line")), F.lit(1), F.size("head"))))
+    rows = rows.select("_path", by_name.alias("m"))
     number = lambda c: F.coalesce(F.col("m")[f"metrics/{c}(B)"].try_cast("double"), F.lit(0.0))
     return rows.select(
         F.regexp_extract("_path", r"^(.*)/results\.csv$", 1).alias("run_dir"),

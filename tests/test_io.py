@@ -183,7 +183,7 @@ def test_tiles(spark):
 
 def test_detector_fallback(spark):
     def load():
-        def predict(rows, conf, imgsz):
+        def predict(rows, conf, imgsz, max_det):
             if len(rows) > 1:
                 raise ValueError("one at a time")
             return [{"boxes": [(0, 0, 1, 1)], "scores": [0.5], "labels": [0]}]

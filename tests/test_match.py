@@ -9,7 +9,7 @@ from sheetscore.operators.assign import greedy_box_match, greedy_text_match, nms
 from sheetscore.operators.detection import ap_11_point, curve, evaluate_detection, truth_counts
 from sheetscore.operators.overlap import argmax_box_match, gt_hit, overlap_pairs
 from sheetscore.operators.prefix import sequential_ids
-from sheetscore.operators.strings import char_overlap, match_strings, string_detail, string_scores, token_flags, whole_text_scores, word_overlap
+from sheetscore.operators.strings import char_overlap, match_strings, result_images, string_detail, string_scores, token_flags, whole_text_scores, word_overlap
 
 PRED = "run_id string, image string, class string, pred_idx int, x1 double, y1 double, x2 double, y2 double, score double"
 GT = "image string, class string, gt_idx int, x1 double, y1 double, x2 double, y2 double"
@@ -194,7 +194,7 @@ def texts(spark, seed=5):
 @pytest.mark.parametrize("bounds", [SMALL, {**BLOCKS, "block": 12}])
 def test_text_match(spark, bounds):
     g, p, gt, pred = texts(spark)
-    got = {(r.run_id, r.image, r.gt_idx): r for r in match_strings(g, p, **bounds).collect()}
+    got = {(r.run_id, r.image, r.gt_idx): r for r in match_strings(g, p, result_images(p), **bounds).collect()}
     n = 0
     for run in "ab":
         for i in range(5):
@@ -213,10 +213,10 @@ def test_text_match(spark, bounds):
 def test_hand_case_strings(spark):
     g = spark.createDataFrame([("i", 0, "abc"), ("i", 1, "abd"), ("skipped", 0, "x")], TEXT_GT)
     p = spark.createDataFrame([("r", "i", 0, "abd")], TEXT_PRED)
-    r = string_scores(g, p).first()
+    r = string_scores(g, p, result_images(p)).first()
     assert (r.char_edits, r.gt_chars, r.exact, r.found, r.n_gt, r.evaluated_images) == (4, 6, 0, 1, 2, 1)
     assert r.cer == pytest.approx(2 / 3) and r.wer == 1.0 and (r.recall, r.precision) == (0.5, 1.0)
-    truth, extra = string_detail(g, p)
+    truth, extra = string_detail(g, p, result_images(p))
     assert [x.found for x in truth.orderBy("gt_idx").collect()] == [True, False]
     assert [x.matched for x in extra.collect()] == [True]
 
@@ -224,10 +224,10 @@ def test_hand_case_strings(spark):
 def test_hand_case_whole_text(spark):
     g = spark.createDataFrame([("i", 0, "A b"), ("i", 1, "b")], TEXT_GT)
     p = spark.createDataFrame([("r", "i", 0, "b c")], TEXT_PRED)
-    r = whole_text_scores(g, p).first()
+    r = whole_text_scores(g, p, result_images(p)).first()
     assert (r.n_gt_words, r.n_pred_words, r.matched_words, r.lcs, r.gt_chars) == (3, 2, 1, 2, 5)
     assert r.word_coverage == pytest.approx(1 / 3) and r.char_coverage == 0.4 and r.word_precision == 0.5
-    flags = token_flags(g, p).orderBy("gt_idx", "pos").collect()
+    flags = token_flags(g, p, result_images(p)).orderBy("gt_idx", "pos").collect()
     assert [x.matched for x in flags] == [False, True, False]
 
 
@@ -235,8 +235,8 @@ def test_whole_text_against_brute_force(spark):
     from collections import Counter
 
     g, p, gt, pred = texts(spark)
-    over = {(r.run_id, r.image): r for r in word_overlap(g, p).collect()}
-    chars = {(r.run_id, r.image): r for r in char_overlap(g, p).collect()}
+    over = {(r.run_id, r.image): r for r in word_overlap(g, p, result_images(p)).collect()}
+    chars = {(r.run_id, r.image): r for r in char_overlap(g, p, result_images(p)).collect()}
     for (run, image), r in over.items():
         a = " ".join(t for im, _, t in gt if im == image).lower().split()
         b = " ".join(t for q, im, _, t in pred if (q, im) == (run, image)).lower().split()
@@ -244,7 +244,7 @@ def test_whole_text_against_brute_force(spark):
         assert r.matched_words == sum((Counter(a) & Counter(b)).values())
         assert chars[(run, image)].lcs == brute.lcs(" ".join(a), " ".join(b))
     for bound in (10**6, 2):
-        flags = token_flags(g, p, max_rows=bound).groupBy("run_id", "image").agg(F.count_if("matched").alias("n"))
+        flags = token_flags(g, p, result_images(p), max_rows=bound).groupBy("run_id", "image").agg(F.count_if("matched").alias("n"))
         assert {(r.run_id, r.image): r.n for r in flags.collect()} == {k: r.matched_words for k, r in over.items()}
 
 
