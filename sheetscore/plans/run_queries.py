@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators.runs import (
     metric_names, new_entries, of_task, pipeline_board, run_detail_join, run_filter, sample_images, sort_runs, stage_summary, training_runs, upsert,
     with_cost,
 )
+from ..session import scratch
+from ..sources.keyed import KeyedTable
 from .registry import Source, query, r6, with_inputs
 
 RUNS = """
@@ -107,6 +111,30 @@ def upserted(s: Source):
     return upsert(old, new, ["user_id", "mode"], ["event_id"]).select("user_id", "mode", "value")
 
 
+def _store(s: Source) -> KeyedTable:
+    """The latest value per user and mode, kept as a table of its own, with one round of changes."""
+    table = KeyedTable(s.spark, f"{scratch(s.spark, 'store')}-{uuid.uuid4().hex}")
+    rows = s.table("events").select("event_id", "user_id", F.col("event_type").alias("mode"), "value")
+    table.create(upsert(rows.limit(0), rows, ["user_id", "mode"], ["event_id"]), ["user_id", "mode"], ["user_id"])
+    table.upsert(rows.withColumn("user_id", F.col("user_id") + 75).withColumn("value", F.col("value") + 1), ["event_id"])
+    return table
+
+
+@query("store_upsert", """SELECT user_id, event_type AS mode, arg_max(value, (side, event_id)) AS value FROM (
+SELECT *, 0 AS side FROM events UNION ALL SELECT event_id, ts, user_id + 75, event_type, value + 1, props, 1 FROM events) AS q GROUP BY ALL""")
+def stored(s: Source):
+    return _store(s).read().select("user_id", "mode", "value")
+
+
+@query("store_delete", """SELECT user_id, event_type AS mode, arg_max(value, (side, event_id)) AS value FROM (
+SELECT *, 0 AS side FROM events UNION ALL SELECT event_id, ts, user_id + 75, event_type, value + 1, props, 1 FROM events) AS q
+WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY ALL""")
+def stored_less(s: Source):
+    table = _store(s)
+    table.delete(s.table("supplier").select(F.col("s_suppkey").alias("user_id")))
+    return table.read().select("user_id", "mode", "value")
+
+
 @query("delete_runs", _runs("SELECT id FROM runs WHERE model NOT IN (SELECT concat('net ', s_suppkey) FROM supplier)"))
 def deleted(s: Source):
     gone = s.table("supplier").select(F.concat(F.lit("net "), F.col("s_suppkey").cast("string")).alias("model"))
