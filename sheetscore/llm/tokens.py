@@ -82,9 +82,9 @@ class Encoder:
             return self._plain([t.decode() for t in texts])
         cut = [t.decode().replace("\n", " ").split(" ") for t in texts]
         known = self.pieces
-        missing = list({piece for pieces in cut for piece in pieces if piece not in known})
+        missing = list(set().union(*cut).difference(known))
         self._learn(missing)
-        out = [b"".join([known[piece] for piece in pieces]) for pieces in cut]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         if len(known) > self.most_pieces:
             for piece in missing:
                 del known[piece]
