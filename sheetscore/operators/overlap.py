@@ -102,19 +102,33 @@ def overlap_pairs(pred: DataFrame, gt: DataFrame, thr: float = 0.5, keys: tuple[
     return pairs.select(*keys, "p.pred_idx", "t.gt_idx", "iou")
 
 
-def gt_hit(pred: DataFrame, gt: DataFrame, conf: float = 0.25, thr: float = 0.5, keys: tuple[str, ...] = KEYS, **bounds) -> DataFrame:
+def gt_hit(
+    pred: DataFrame, gt: DataFrame, conf: float = 0.25, thr: float = 0.5, keys: tuple[str, ...] = KEYS,
+    max_rows: int = MAX_ROWS, max_cells: int = MAX_CELLS,
+) -> DataFrame:
     """Truth boxes some confident prediction covers, not exclusively.
 
-    Copies of a box answer alike, so only distinct boxes are compared.
-    -> (keys, gt_idx)
+    The predictions of a bounded image travel as one array to its truth boxes. In larger ones distinct boxes meet on the
+    grid, since copies of a box answer alike. -> (keys, gt_idx)
     """
     keys = list(keys)
     t_keys = [k for k in keys if k in gt.columns]
-    p = pred.filter(F.col("score") >= conf).select(*keys, _box(pred, "p")).distinct()
-    t = gt.select(*t_keys, _box(gt, "t")).distinct()
-    hit = iou_join(p, t, thr, keys, **bounds).select(*keys, "t").distinct()
-    boxes = gt.select(*t_keys, "gt_idx", _box(gt, "t"))
-    return boxes.join(hit, [*t_keys, "t"]).select(*keys, "gt_idx")
+    p = cut(pred.filter(F.col("score") >= conf).select(*keys, _box(pred, "p")))
+    boxes = cut(gt.select(*t_keys, "gt_idx", _box(gt, "t")))
+
+    def small(p: DataFrame) -> DataFrame:
+        lists = p.groupBy(*keys).agg(F.collect_set("p").alias("_ps"))
+        hit = F.exists("_ps", lambda one: overlapping(one, F.col("t"), thr).isNotNull())
+        return boxes.join(lists, t_keys).filter(hit).select(*keys, "gt_idx")
+
+    big = oversized_pairs(p, boxes, keys, t_keys, max_rows, max_cells)
+    if big is None:
+        return small(p)
+    big_keys = checked_broadcast(big[0])
+    t = boxes.join(big_keys, t_keys).select(*keys, "t").distinct()
+    hit = grid_join(p.join(big_keys, keys, "left_semi").distinct(), t, keys, thr).select(*keys, "t").distinct()
+    large = boxes.join(hit, [*t_keys, "t"]).select(*keys, "gt_idx")
+    return small(p.join(big_keys, keys, "left_anti")).unionByName(large)
 
 
 def _best_small(pred: DataFrame, gt: DataFrame, thr: float, keys: list[str], t_keys: list[str]) -> DataFrame:
