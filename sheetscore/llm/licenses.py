@@ -1,8 +1,8 @@
 """Licence notices in documents: Dice coefficient over word bigrams against templates.
 
-A document is cut into sentences and lines; runs of neighbouring ones are compared with the templates. The Dice
-coefficient of sizes a and b is at most 2 min(a, b) / (a + b), which bounds the size of the runs a template can
-match, and the bigrams that a document must share with it before any run is looked at.
+A notice may stand anywhere, inside a longer sentence too: windows of words begin and end with a bigram of the template.
+The Dice coefficient of sizes a and b is at most 2 min(a, b) / (a + b), which bounds the size of the windows a template
+can match, and the bigrams of the template that a window must hold before it is counted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from .common import arrow_map
 
 THRESHOLD = 0.85
 WORD = re.compile(r"[^\W_]+")
-BREAK = re.compile(r"\n|(?<=[.!?;:])\s+")
 FOUND = "doc_id long, license string, dice double, first long, last long"
 
 _MIT = (
@@ -38,8 +37,8 @@ _GPL = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as "
     "published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
 )
-# Public notices, by SPDX name.
-TEMPLATES = (
+# Public notices, by SPDX name; GPL, LGPL and AGPL stand for notices that give no version.
+_NOTICES = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
@@ -83,7 +82,42 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # short forms
+    ("MIT", "under the MIT License"),
+    ("MIT", "under the terms of the MIT License"),
+    ("Apache-2.0", "under the Apache License 2.0"),
+    ("Apache-2.0", "under the Apache License, Version 2.0"),
+    ("Apache-2.0", "under the terms of the Apache License, Version 2.0"),
+    ("BSD-2-Clause", "under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "under the BSD 3-Clause License"),
+    ("ISC", "under the ISC License"),
+    ("MPL-2.0", "under the Mozilla Public License 2.0"),
+    ("MPL-2.0", "under the Mozilla Public License, Version 2.0"),
+    ("GPL", "This work is licensed under the GNU General Public License."),
+    ("GPL", "under the GNU General Public License"),
+    ("GPL-2.0", "under the GNU General Public License v2.0"),
+    ("GPL-2.0", "under the GNU General Public License, version 2"),
+    ("GPL-3.0", "under the GNU General Public License v3.0"),
+    ("GPL-3.0", "under the GNU General Public License, version 3"),
+    ("LGPL", "under the GNU Lesser General Public License"),
+    ("AGPL", "under the GNU Affero General Public License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    # titles and openings of the licence texts
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
+# every licence also by its tag
+TEMPLATES = _NOTICES + tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in _NOTICES))
 
 
 def words_of(text: str) -> list[str]:
@@ -113,73 +147,61 @@ class Scanner:
         return size * t / (2 - t) - 1e-9, size * (2 - t) / t + 1e-9
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, dice, first, last) of runs of sentences that match, characters of the text, last excluded.
+        """(licence, dice, first, last) of windows of words that match, characters of the text, last excluded.
 
-        Of overlapping matches the one of the higher coefficient counts, then the longer, the earlier, the template listed first.
+        Of the windows that begin at one word, a template's best counts, the longest of equal ones. Of overlapping matches the
+        one of the higher coefficient counts, then the longer, the earlier, the template listed first.
         """
         words = words_of(text)
-        known = self.by_gram
-        hits = [i for i, g in enumerate(zip(words, words[1:])) if g in known]
-        if not hits:
-            return []
-        shared = Counter(t for i in hits for t in known[words[i], words[i + 1]])
-        wanted = [t for t, n in sorted(shared.items()) if n >= self.bounds(self.sizes[t])[0]]
-        if not wanted:
+        at: dict[int, list[int]] = {}
+        for i, g in enumerate(zip(words, words[1:])):
+            for t in self.by_gram.get(g, ()):
+                at.setdefault(t, []).append(i)
+        matches = [m for t in at if len(at[t]) >= self.bounds(self.sizes[t])[0] for m in self.matches(t, words, at[t])]
+        if not matches:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        breaks = [m.start() for m in BREAK.finditer(text)] + [len(text)]
-        starts, b = [0], 0  # first words of the sentences
-        for i, (_, last) in enumerate(spans):
-            while breaks[b] < last:
-                b += 1
-                if i and starts[-1] != i:
-                    starts.append(i)
-        starts.append(len(words))
-        matches = []
-        for t in wanted:
-            matches += self.matches(t, words, starts, hits)
         out: list[tuple[str, float, int, int]] = []
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(words))
         for dice, size, a, e, t in sorted(matches, key=lambda m: (-m[0], -m[1], m[2], m[4])):
-            if all(e <= x or a >= y for x, y in taken):
-                taken.append((a, e))
+            if not any(taken[a:e]):
+                taken[a:e] = b"\x01" * (e - a)
                 out.append((self.names[t], dice, spans[a][0], spans[e - 1][1]))
         return sorted(out, key=lambda m: m[2])
 
-    def matches(self, t: int, words: list[str], starts: list[int], hits: list[int]) -> list[tuple[float, int, int, int, int]]:
-        """(dice, bigrams, first word, last word, template) of all runs of sentences that reach the threshold."""
+    def matches(self, t: int, words: list[str], at: list[int]) -> list[tuple[float, int, int, int, int]]:
+        """(dice, bigrams, first word, last word, template): the best window from each bigram of the template that reaches the threshold.
+
+        at: the places of its bigrams. A window that begins or ends with another bigram is worse than the one without it.
+        """
         grams, size = self.grams[t], self.sizes[t]
         low, high = self.bounds(size)
-        at = [i for i in hits if (words[i], words[i + 1]) in grams]
-        out, h = [], 0
-        for s, a in enumerate(starts[:-1]):
-            while h < len(at) and at[h] < a:
-                h += 1
-            # enough of its bigrams must follow within the longest run
-            need = h + max(1, -int(-low // 1)) - 1
-            if need >= len(at) or at[need] > a + high:
+        need = max(1, -int(-low // 1)) - 1  # enough of its bigrams must follow within the longest window
+        out = []
+        for h, a in enumerate(at):
+            if h + need >= len(at):
+                break
+            if at[h + need] - a + 1 > high:
                 continue
-            left, both, i = dict(grams), 0, a
-            for e in starts[s + 1 :]:
-                n = e - a - 1
+            left, both, best = dict(grams), 0, (0.0, 0)
+            for k in range(h, len(at)):
+                n = at[k] - a + 1
                 if n > high:
                     break
-                while i < e - 1:
-                    g = words[i], words[i + 1]
-                    if left.get(g):
-                        left[g] -= 1
-                        both += 1
-                    i += 1
-                if n >= low and 2 * both / (n + size) >= self.threshold:
-                    out.append((2 * both / (n + size), n, a, e, t))
+                g = words[at[k]], words[at[k] + 1]
+                if left[g]:
+                    left[g] -= 1
+                    both += 1
+                best = max(best, (2 * both / (n + size), n))
+            if best[0] >= self.threshold:
+                out.append((*best, a, a + best[1] + 1, t))
         return out
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """-> FOUND: the licence notices in documents of (doc_id, text, ...), with the place of each in its text.
 
-    Words are compared in lower case without marks; sentences end at line ends or at . ! ? ; : before white
-    space, and a notice may take up several. Null, empty and other texts without a notice give no row;
+    Words are compared in lower case without marks; a notice may stand inside a sentence or take up several. Null, empty and other texts without a notice give no row;
     repeated notices give one each. Other columns are not read; an empty table gives no rows.
     """
     scanner = Scanner(templates, threshold)

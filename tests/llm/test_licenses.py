@@ -7,34 +7,23 @@ from sheetscore.llm import licenses as lc
 from sheetscore.llm.common import prepare
 
 
-def sentences(text):
-    """(first, last) word numbers of the sentences."""
-    import re
-
-    out, n = [], 0
-    for part in re.split(r"\n|(?<=[.!?;:])\s+", text):
-        k = len(lc.words_of(part))
-        if k:
-            out.append((n, n + k))
-        n += k
-    return out
-
-
 def brute(text, templates, threshold):
-    words, parts, found = lc.words_of(text), sentences(text), []
+    words, found = lc.words_of(text), []
     for t, (name, template) in enumerate(templates):
         w = lc.words_of(template)
         want = Counter(zip(w, w[1:]))
-        for i in range(len(parts)):
-            for j in range(i, len(parts)):
-                a, e = parts[i][0], parts[j][1]
+        size = len(w) - 1
+        for a in range(len(words) - 1):
+            best = None
+            for e in range(a + 2, min(len(words), a + 1 + int(size * (2 / threshold - 1)) + 2) + 1):
                 got = Counter(zip(words[a : e - 1], words[a + 1 : e]))
-                size = sum(got.values()) + sum(want.values())
-                if sum(got.values()) and (d := 2 * sum((got & want).values()) / size) >= threshold:
-                    found.append((-d, -(e - a - 1), a, t, e, name))
+                best = max(best or (0, 0), (2 * sum((got & want).values()) / (e - a - 1 + size), e - a - 1))
+            if best and best[0] >= threshold:
+                found.append((-best[0], -best[1], a, t, name))
     out, spans = [], [m.span() for m in lc.WORD.finditer(text)]
     taken = []
-    for d, _, a, _, e, name in sorted(found):
+    for d, n, a, _, name in sorted(found):
+        e = a - n + 1
         if all(e <= x or a >= y for x, y in taken):
             taken.append((a, e))
             out.append((name, -d, spans[a][0], spans[e - 1][1]))
@@ -66,6 +55,26 @@ def test_scan_matches_brute_force():
         assert lc.Scanner(threshold=threshold).scan(make(3)) == brute(make(3), lc.TEMPLATES, threshold)
 
 
+def test_embedded_short_and_reworded_notices():
+    cases = {
+        "This software is released under the MIT License.": ["MIT"],
+        "All of the code that we wrote is, unless noted, Licensed under the Apache License 2.0 and free": ["Apache-2.0"],
+        "// SPDX-License-Identifier: MIT": ["MIT"],
+        "# SPDX-License-Identifier: LGPL-2.1-only\nimport x": ["LGPL-2.1"],
+        "see (this work is licensed under the GNU General Public License) for it": ["GPL"],
+        "it is licensed under the GNU General Public License, version 2, since then": ["GPL-2.0"],
+        "Text. Permission is hereby granted, free of charge, to any person who obtains " + lc._MIT.split("obtaining ")[1] + " And on it goes": ["MIT"],
+        "one under the MIT License and one under the ISC License": ["MIT", "ISC"],
+        "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "The license of the software is under review, MIT says.": [],
+        "They granted him permission, free of charge, to copy the software.": [],
+    }
+    scanner = lc.Scanner()
+    for text, names in cases.items():
+        assert [m[0] for m in scanner.scan(text)] == names, text
+        assert scanner.scan(text) == brute(text, lc.TEMPLATES, lc.THRESHOLD)
+
+
 def test_every_template_is_found_as_itself():
     scanner = lc.Scanner()
     for name, text in lc.TEMPLATES:
