@@ -9,6 +9,7 @@ from ..functions.numbers import VALUE, variant_value
 from ..functions.text import stem
 from ..operators.prefix import sequential_ids
 from ..schemas import ANNOTATION_JSON, COCO_JSON, FEATURE, FEATURE_SCHEMA, OCR_JSON, VLM_JSON
+from .pieces import json_members
 
 
 def _feature(v: Column) -> Column:
@@ -145,15 +146,29 @@ def _row_name(v: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("image", "image_id", "id")])
 
 
-def read_text_key(spark: SparkSession, path: str) -> DataFrame:
-    """Text key as a name-to-texts object or a list of rows -> (image, gt_idx, text)."""
-    doc, is_list = _documents(spark, path)
-    rows = doc.filter(is_list).select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"))
+def _key_rows(spark: SparkSession, path: str, split: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows of list documents: r; entries of the others: image, t). `split` reads one document in many tasks."""
+    if split:
+        members = json_members(spark, path)
+        named = members.filter(F.col("member").startswith('"')).select(F.try_parse_json(F.concat(F.lit("{"), "member", F.lit("}"))).alias("v"))
+        listed = members.filter(F.col("member").startswith("{")).select(F.try_parse_json("member").alias("r"))
+    else:
+        doc, is_list = _documents(spark, path)
+        listed = doc.filter(is_list).select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"))
+        named = doc.filter(~is_list)
+    return listed, named.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("image", "t"))
+
+
+def read_text_key(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
+    """Text key as a name-to-texts object or a list of rows -> (image, gt_idx, text).
+
+    With `split` the members of a large document are read by many tasks; one that does not parse is left out alone.
+    """
+    rows, named = _key_rows(spark, path, split)
     listed = rows.select(
         _row_name(F.col("r")).alias("image"),
         F.coalesce(F.try_variant_get("r", "$.texts", "variant"), F.try_variant_get("r", "$.text", "variant")).alias("t"),
     ).filter(F.col("image").isNotNull())
-    named = doc.filter(~is_list).select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("image", "t"))
     texts = F.when(
         F.schema_of_variant("t").startswith("ARRAY"), F.try_variant_get("t", "$", "array<string>")
     ).otherwise(F.array(F.try_variant_get("t", "$", "string")))
@@ -161,21 +176,18 @@ def read_text_key(spark: SparkSession, path: str) -> DataFrame:
     return both.select("image", F.posexplode(texts).alias("gt_idx", "text"))
 
 
-def read_field_key(spark: SparkSession, *paths: str) -> DataFrame:
-    """Field key in either shape -> (image, fields). The first path that holds any record is used."""
+def read_field_key(spark: SparkSession, *paths: str, split: bool = False) -> DataFrame:
+    """Field key in either shape -> (image, fields). The first path that holds any record is used; `split` as in `read_text_key`."""
     for path in paths:
         try:
-            doc, is_list = _documents(spark, path)
-            rows = doc.filter(is_list).select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("t"))
-            listed = rows.select(_row_name(F.col("t")).alias("image"), fields_of(F.col("t")).alias("fields")).filter(
+            rows, entries = _key_rows(spark, path, split)
+            listed = rows.select(_row_name(F.col("r")).alias("image"), fields_of(F.col("r")).alias("fields")).filter(
                 F.col("image").isNotNull()
             )
             listed = listed.withColumn(
                 "fields", F.map_filter("fields", lambda k, _: ~k.isin("image", "image_id", "id"))
             )
-            named = doc.filter(~is_list).select(
-                F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("image", "t")
-            ).select("image", fields_of(F.col("t")).alias("fields"))
+            named = entries.select("image", fields_of(F.col("t")).alias("fields"))
             key = named.unionByName(listed)
             if key.take(1):
                 return key
