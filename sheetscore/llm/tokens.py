@@ -45,12 +45,13 @@ class Encoder:
     def _words(self, words: list[str]) -> list[bytes]:
         """Runs of letters, many at once: each ends with the one id that ends a word."""
         out: list[bytes] = []
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
-                out += [x.tobytes() for x in np.split(ids, cuts[:-1])]
+                data, ends = ids.tobytes(), (4 * cuts).tolist()
+                out += map(data.__getitem__, map(slice, [0, *ends], ends))
             else:
                 out += self._plain(part)
         return out
