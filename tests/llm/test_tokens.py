@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetscore.llm import packing, token_files as tf
+from sheetscore.llm import packing, token_files as tf, tokens
 from sheetscore.llm.common import prepare
 from sheetscore.llm.tokens import Encoder, ids_of
 
@@ -35,16 +35,17 @@ def docs_of(folder="/root/testdata/sf0.001"):
     return [r[0] for r in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet' ORDER BY doc_id").fetchall()]
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     texts = ODD + docs_of()
     raw = [(t or "").encode() for t in texts]
     want = whole(texts)
     assert [x.tolist() for x in ids_of(raw)] == want
-    small = Encoder(pieces=50, parts=50)
+    monkeypatch.setattr(tokens, "SLICE", 5)
+    small = Encoder(most=50)
     for at in range(0, len(raw), 7):
         got = small.encode(raw[at : at + 7])
         assert [np.frombuffer(x, "<u4").tolist() + [1] for x in got] == want[at : at + 7]
-    assert len(small.pieces) <= 50 and len(small.parts) <= 51
+    assert len(small.known) <= 50 and small.encode([]) == [] and small.encode([b"", b"\n \n"]) == [b"", b""]
 
 
 def brute_bound(lengths, capacity):
