@@ -47,20 +47,24 @@ def line_dedup(docs: DataFrame, lines: int = 3) -> DataFrame:
     n_lines, n_removed, n_spans (maximal runs of removed lines). Overlapping repeats are merged; windows are
     judged on the input, not on what is left. Lines end at \\n. Documents with fewer lines than a window,
     empty ones and nulls stay as they are (a null has no lines); a document that loses all lines is left empty.
-    A clash with the three counts' names is an error.
+    A column of `docs` with the name of a count stays as it is, and that count is left out.
     """
-    clash = {"n_lines", "n_removed", "n_spans"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    starts = repeated_windows(docs, lines).select(F.col("doc_id").alias("_id"), "starts")
     covered = F.expr(f"array_distinct(flatten(transform(starts, s -> sequence(s, s + {lines - 1}))))")
-    all_lines, gone = F.split("text", "\n"), F.coalesce(F.col("_gone"), F.expr("CAST(array() AS array<int>)"))
-    out = docs.join(starts.select("_id", covered.alias("_gone")), docs["doc_id"].cast("long") == F.col("_id"), "left")
+    starts = repeated_windows(docs, lines).select("doc_id", covered.alias("gone"))
+    # the given columns lie in a struct, so their names meet no other name
+    out = docs.select(F.struct("*").alias("doc")).join(starts, F.col("doc.doc_id").cast("long") == F.col("doc_id"), "left")
+    out = out.withColumns({"lines": F.split("doc.text", "\n"), "gone": F.coalesce("gone", F.expr("CAST(array() AS array<int>)"))})
     # array_except and array_distinct hash their values: linear in the lines of a document
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), p -> _lines[p]), '\n')")
-    return out.withColumns({"_lines": all_lines, "_gone": gone}).select(
-        *[F.when(F.size("_gone") > 0, kept).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.when(docs["text"].isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"),
-        F.expr("size(array_except(_gone, transform(_gone, p -> p + 1)))").cast("long").alias("n_spans"),
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), p -> lines[p]), '\n')")
+    given = F.col("doc")
+    text = F.when(F.size("gone") > 0, kept).otherwise(given["text"])
+    counts = {
+        "n_lines": F.when(given["text"].isNull(), 0).otherwise(F.size("lines")),
+        "n_removed": F.size("gone"),
+        "n_spans": F.expr("size(array_except(gone, transform(gone, p -> p + 1)))"),
+    }
+    taken = {c.lower() for c in docs.columns}
+    return out.select(
+        *[(text if c == "text" else given[c]).alias(c) for c in docs.columns],
+        *[n.cast("long").alias(name) for name, n in counts.items() if name not in taken],
     )

@@ -48,8 +48,11 @@ def test_line_dedup_columns_and_empty_table(spark):
     assert out.columns == [*docs.columns, "n_lines", "n_removed", "n_spans"]
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["a\nb\nc", ""]
     assert line_dedup(table(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup(docs.withColumn("N_LINES", F.lit(1)))
+    for name in ("N_LINES", "n_spans", "_gone", "_lines", "_id", "gone", "lines", "doc", "a.b"):
+        clash = docs.withColumn(name, F.lit("own"))
+        out = line_dedup(clash)
+        assert out.columns[: len(clash.columns)] == clash.columns and len(out.columns) == len(clash.columns) + 3 - (name.lower() in ("n_lines", "n_spans"))
+        assert sorted((r["text"], r[name], r["n_removed"]) for r in out.collect()) == [("", "own", 3), ("a\nb\nc", "own", 0)]
 
 
 def plain_fingerprint(text):

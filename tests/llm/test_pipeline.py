@@ -33,7 +33,7 @@ def test_run_matches_brute_force(spark, tmp_path, extra):
         rows = [(1000, None), (1001, ""), (1002, "12 34"), (1003, "the\nand\nof\nin"), (1004, "the\nand\nof\nin"), (1005, None), (1006, "the and " * 4000)]
         odd = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], docs.schema)
         folder = str(tmp_path)
-        docs.unionByName(odd).selectExpr("*", "'x' AS key", "1 AS n_tokens").repartition(5).write.parquet(f"{folder}/documents.parquet")
+        docs.unionByName(odd).selectExpr("*", "'x' AS key", "1 AS n_tokens", "'y' AS n_lines", "2 AS _gone").repartition(5).write.parquet(f"{folder}/documents.parquet")
         spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     prepare(spark)
     table = spark.read.parquet(f"{folder}/documents.parquet")
