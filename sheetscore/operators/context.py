@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.replies import render_prompt
+from ..functions.replies import feature_line, render_prompt
 from ..functions.text import crop_source_name, strip
+from .groups import small_table
 
 
 def ocr_rows(results: DataFrame) -> DataFrame:
@@ -60,11 +61,36 @@ def context_join(images: DataFrame, context: DataFrame | None) -> DataFrame:
     return images.join(context, "image", "left").withColumn("text_context", F.coalesce("text_context", F.lit("")))
 
 
-def prompts(images: DataFrame, context: DataFrame | None, mode: str, schema: list[dict], intro: str | None = None) -> DataFrame:
+def reply_templates(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """-> (keys, template): the reply that a schema expects, for every run (`keys`) with a schema of its own.
+
+    features: (keys, pos, name, type, unit, description), as `feature_schema` gives them; a null unit is left out.
+    Without keys there is one row, also for no fields at all. A schema is one text by nature.
+    """
+    keys = keys or []
+    place = Window.partitionBy(*keys).orderBy("pos") if keys else Window.partitionBy(F.lit(0)).orderBy("pos")
+    last = F.lead("pos").over(place).isNull()
+    lines = features.select(*keys, "pos", feature_line(*(F.col(c) for c in ("name", "type", "unit", "description")), last).alias("line"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"])
+    return lines.groupBy(*keys).agg(F.concat(F.lit("{\n"), F.array_join(body, "\n"), F.lit("\n}")).alias("template"))
+
+
+def prompts(
+    images: DataFrame, context: DataFrame | None, mode: str, features: DataFrame, intro: str | None = None, keys: list[str] | None = None
+) -> DataFrame:
+    """images plus text_context, mode and prompt.
+
+    `features` is the schema relation; with `keys` (columns of both) each run asks for its own fields, and
+    images of a run without a schema stop the job.
+    """
     custom = F.lit(intro) if intro is not None else None
-    return context_join(images, context).withColumn("mode", F.lit(mode)).withColumn(
-        "prompt", render_prompt(schema, F.lit(mode), F.col("text_context"), custom)
-    )
+    templates, asked = reply_templates(features, keys), context_join(images, context)
+    if keys:
+        asked = asked.join(small_table(templates.withColumnRenamed("template", "_template")), keys, "left")
+        template = F.coalesce("_template", F.raise_error(F.lit("no features are declared for a run")))
+    else:
+        template = F.lit(templates.first()["template"])  # one text
+    return asked.withColumn("mode", F.lit(mode)).withColumn("prompt", render_prompt(template, F.lit(mode), F.col("text_context"), custom)).drop("_template")
 
 
 def available_contexts(results: DataFrame, task: str = "both") -> tuple[DataFrame, DataFrame]:

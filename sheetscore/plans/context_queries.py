@@ -14,8 +14,9 @@ from ..operators.context import (
 )
 from ..operators.infer import extract_batches, predict_batches, reader_for, route_by_class
 from ..operators.keys import filter_class
-from ..schemas import DETECTION, FEATURE_SCHEMA, REGION
+from ..schemas import DETECTION, REGION
 from ..session import scratch
+from ..sources.readers import feature_schema
 from ..streaming.jobs import read_key, read_upserted, stream_leaderboard, stream_rebuild_keys, stream_upsert_results
 from .box_queries import BASE, SIZES
 from .registry import Source, query, r6, with_inputs
@@ -58,7 +59,7 @@ def merged(s: Source):
 @query("prompts", with_inputs(f"SELECT s.image, coalesce(p.text_context, '') AS text_context, length(coalesce(p.text_context, '')) AS n_context FROM (SELECT image FROM s) s LEFT JOIN ({PAGE_SQL}) p USING (image)", p=PAGES, s=SIZES))
 def rendered(s: Source):
     """The whole context stands in the prompt between its quotes; schema and closing are always there."""
-    out = prompts(s.sql(SIZES).select("image"), page_text(s.sql(PAGES)), "whole_image_ocr", FEATURE_SCHEMA)
+    out = prompts(s.sql(SIZES).select("image"), page_text(s.sql(PAGES)), "whole_image_ocr", feature_schema(s.spark))
     text = F.regexp_extract("prompt", '(?s)OCR extracted text:\n"""\n(.*)\n"""\n\\z', 1)
     complete = F.contains("prompt", F.lit('"drawing_number": null  // string')) & F.contains("prompt", F.lit("Return ONLY"))
     return out.select("image", F.when(complete, text).alias("text_context"), F.length(text).cast("bigint").alias("n_context"))

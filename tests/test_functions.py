@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetscore.functions import boxes, dims, numbers, replies, text
-from sheetscore.schemas import FEATURE_SCHEMA
 
 
 def column(spark, values, build, ddl="string"):
@@ -102,8 +101,18 @@ def test_replies(spark):
     assert column(spark, models, lambda v: replies.token_cost(F.lit(1000), F.lit(500), replies.price_of(v))) == [0.0105, 0.0075, None, None]
 
 
-def test_prompt(spark):
-    prompt = column(spark, ["ctx"], lambda v: replies.render_prompt(FEATURE_SCHEMA, F.lit("cropped_ocr"), v, F.lit(" Mine. ")))[0]
-    assert prompt.startswith("Mine.\n\nReturn ONLY") and '"circular_hole_diameters": [],  // list (mm)' in prompt and prompt.endswith('"""\nctx\n"""\n')
+def test_prompt_modes(spark):
+    """The whole text in all three modes, with the wording taken as given."""
+    body = '{\n  "n": null,  // number (mm) — size\n  "l": []  // list — all\n}'
+    ends = {
+        "whole_image": replies.IMAGE_ONLY,
+        "whole_image_ocr": replies.PAGE_TEXT + "ctx" + replies.CONTEXT_END,
+        "cropped_ocr": replies.CROP_TEXT + "ctx" + replies.CONTEXT_END,
+    }
+    for mode, end in ends.items():
+        for intro, opening in ((None, replies.INTRO), (" Mine. ", "Mine."), ("  ", replies.INTRO)):
+            custom = F.lit(intro) if intro is not None else None
+            got = column(spark, ["ctx"], lambda v: replies.render_prompt(F.lit(body), F.lit(mode), v, custom))[0]
+            assert got == opening + replies.CONTRACT + body + "\n" + end
     with pytest.raises(Exception, match="unknown mode"):
-        column(spark, ["x"], lambda v: replies.render_prompt(FEATURE_SCHEMA, v, F.lit("")))
+        column(spark, ["x"], lambda v: replies.render_prompt(F.lit(body), v, F.lit("")))

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from sheetscore.functions.replies import json_template
 from sheetscore.functions.text import lcs_length
 from sheetscore.operators.assign import greedy_box_match, nms
 from sheetscore.operators.coco import label_files
+from sheetscore.operators.context import prompts, reply_templates
 from sheetscore.operators.infer import route_by_class
 from sheetscore.operators.overlap import argmax_box_match, gt_hit, overlap_pairs
 from sheetscore.operators.strings import char_overlap, result_images, string_scores, whole_text_scores
@@ -144,8 +144,18 @@ def test_feature_schema_from_a_file_and_its_template(spark, tmp_path):
     dump(tmp_path / "f.json", fields)
     schema = readers.read_feature_schema(spark, str(tmp_path / "f.json"))
     assert schema == fields
-    text = spark.range(1).select(json_template(schema)).first()[0]
-    assert text == '{\n  "n": null,  // number (mm) — size\n  "l": []  // list — 100% of "all"\n}'
+    want = '{\n  "n": null,  // number (mm) — size\n  "l": []  // list — 100% of "all"\n}'
+    assert [r.template for r in reply_templates(readers.feature_schema(spark, schema)).collect()] == [want]
+    both = readers.feature_schema(spark, schema).withColumn("run", F.lit("a")).unionByName(
+        readers.feature_schema(spark, schema[1:]).withColumn("run", F.lit("b"))
+    )
+    alone = '{\n  "l": []  // list — 100% of "all"\n}'
+    assert {r.run: r.template for r in reply_templates(both, ["run"]).collect()} == {"a": want, "b": alone}
+    images = spark.createDataFrame([("i", "a"), ("i", "b"), ("j", "b")], "image string, run string")
+    asked = prompts(images, None, "whole_image", both, keys=["run"])
+    assert {(r.image, r.run): (want in r.prompt, alone in r.prompt) for r in asked.collect()} == {("i", "a"): (True, False), ("i", "b"): (False, True), ("j", "b"): (False, True)}
+    with pytest.raises(Exception, match="no features"):
+        prompts(images, None, "whole_image", both.filter("run = 'a'"), keys=["run"]).collect()
     dump(tmp_path / "g.json", fields + fields)
     with pytest.raises(ValueError):
         readers.read_feature_schema(spark, str(tmp_path / "g.json"))
