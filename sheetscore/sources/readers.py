@@ -9,6 +9,7 @@ from ..functions.numbers import VALUE, variant_value
 from ..functions.text import stem
 from ..operators.prefix import sequential_ids
 from ..schemas import ANNOTATION_JSON, COCO_JSON, FEATURE, FEATURE_SCHEMA, OCR_JSON, VLM_JSON
+from .headers import header_sizes
 from .pieces import json_members
 
 
@@ -230,12 +231,10 @@ def read_weights(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Pictures of a folder -> (image, path, width, height)."""
-    files = spark.read.format("image").option("dropInvalid", True).load(folder)
-    rows = files.select(F.col("image.origin").alias("path"), "image.width", "image.height")
-    return rows.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$")).select(
-        stem(F.url_decode("path")).alias("image"), "path", "width", "height"
-    )
+    """Pictures of a folder -> (image, path, width, height), from their headers; files that are no pictures go."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")  # no content is read here
+    sizes = header_sizes(files.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$")))
+    return sizes.select(stem("path").alias("image"), "path", "width", "height")
 
 
 def read_feature_schema(spark: SparkSession, path: str) -> list[dict]:
