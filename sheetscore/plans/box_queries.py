@@ -12,7 +12,7 @@ from ..operators.detection import (
 )
 from ..operators.overlap import argmax_box_match, gt_hit, overlap_pairs
 from ..operators.prefix import sequential_ids
-from ..operators.tiles import merge_tiles, tile_grid, tile_to_image
+from ..operators.tiles import merge_tiles, tile_grid, tile_to_picture
 from .registry import Source, query, r6, with_inputs
 
 BASE = """
@@ -302,7 +302,7 @@ boxes AS (
   UNION ALL SELECT run_id, image, class, 1099511627776 + pred_idx, x1, y1, x2, y2, CAST(score AS DOUBLE) FROM fb),
 """ + NMS_WALK)
 def merged(s: Source):
-    boxes = tile_to_image(s.sql(TILE_BOXES), tile_grid(s.sql(SIZES), tile=512, overlap=0.2))
+    boxes = tile_to_picture(s.sql(TILE_BOXES), s.sql(SIZES), tile=512, overlap=0.2)
     full = s.sql(FULL_BOXES).withColumn("score", F.col("score").cast("double"))
     return merge_tiles(boxes.withColumn("score", F.col("score").cast("double")), full)
 
