@@ -51,18 +51,19 @@ def _rounded(v: Column, digits: int) -> tuple[Column, Column]:
 
     Decided on the exact binary value, as C and Python do; the engine's own
     `round` works on the printed digits and differs on ties such as 12.25. The
-    fraction times 2^100 is an integer, kept as a decimal of two parts.
+    fraction is split into two halves of its bits (Veltkamp), whose products with
+    10^digits are exact, so `error` is exactly what the product `scaled` lost.
     """
     size = F.abs(v)
     whole = F.floor(size)
-    share = size - whole
-    high = F.floor(share * F.lit(2.0**40))
-    low = F.floor((share * F.lit(2.0**40) - high) * F.lit(2.0**60))
-    exact = (high.cast("decimal(13,0)") * F.lit(2**60).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("decimal(31,0)")
-    unit = (F.lit(2**60).cast("decimal(19,0)") * F.lit(2**40).cast("decimal(13,0)")).cast("decimal(31,0)")
-    near = F.floor(share * F.lit(float(10**digits)))
-    rest = (exact * F.lit(10**digits).cast("decimal(7,0)") - near.cast("decimal(7,0)") * unit) * F.lit(2).cast("decimal(1,0)")
-    up = (rest > unit) | ((rest == unit) & (near % 2 == 1))
+    share, unit = size - whole, F.lit(float(10**digits))
+    scaled = share * unit
+    spread = share * F.lit(2.0**27 + 1)
+    high = spread - (spread - share)
+    error = (high * unit - scaled) + (share - high) * unit
+    near = F.floor(scaled)
+    half = scaled - near - 0.5
+    up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & (near % 2 == 1))))
     return whole, near + up.cast("bigint")
 
 
