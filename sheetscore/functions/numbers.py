@@ -54,17 +54,20 @@ def _rounded(v: Column, digits: int) -> tuple[Column, Column]:
     fraction is split into two halves of its bits (Veltkamp), whose products with
     10^digits are exact, so `error` is exactly what the product `scaled` lost.
     """
+    unit = F.lit(float(10**digits))
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # written out, the shared parts are too much code to be compiled
+
+    def decimals(share: Column, scaled: Column, high: Column) -> Column:
+        error = (high * unit - scaled) + (share - high) * unit
+        near = F.floor(scaled)
+        half = scaled - near - 0.5
+        up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & (near % 2 == 1))))
+        return near + up.cast("bigint")
+
     size = F.abs(v)
     whole = F.floor(size)
-    share, unit = size - whole, F.lit(float(10**digits))
-    scaled = share * unit
-    spread = share * F.lit(2.0**27 + 1)
-    high = spread - (spread - share)
-    error = (high * unit - scaled) + (share - high) * unit
-    near = F.floor(scaled)
-    half = scaled - near - 0.5
-    up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & (near % 2 == 1))))
-    return whole, near + up.cast("bigint")
+    parts = once(size - whole, lambda s: F.struct(s.alias("s"), (s * unit).alias("scaled"), (s * F.lit(2.0**27 + 1)).alias("spread")))
+    return whole, once(parts, lambda p: decimals(p["s"], p["scaled"], p["spread"] - (p["spread"] - p["s"])))
 
 
 def exact_round(v: Column, digits: int) -> Column:
@@ -76,7 +79,7 @@ def exact_round(v: Column, digits: int) -> Column:
     fine = F.abs(v) < F.lit(2.0**53 / 10**digits)
     whole, part = _rounded(F.when(~fine, F.lit(0.0)).otherwise(v), digits)
     size = (whole * 10**digits + part) / F.lit(float(10**digits))
-    return F.when(~fine, v).when(v < 0, -size).otherwise(size)
+    return F.when(~fine, v).otherwise(size * F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
 
 
 def fixed(v: Column, digits: int) -> Column:
