@@ -12,6 +12,8 @@ from ..operators.fields import (
 )
 from .registry import Source, query, r6, with_inputs
 
+# An order becomes six results of five tagged values each.
+ORDERS_PER_TASK = 50_000
 FIELDS = ("price", "holes", "priority", "customer", "status")
 GT = """
 SELECT CAST(o_orderkey AS STRING) AS image,
@@ -49,7 +51,7 @@ def _map(df: DataFrame, holes, keep: list[str]) -> DataFrame:
 def answer_key(s: Source) -> DataFrame:
     """Lists where the first hole is known, nothing otherwise."""
     holes = F.when(F.col("h1").isNotNull(), list_value(F.array("h1", "h2", "h3")))
-    return _map(s.sql(GT, heavy=True), holes, ["image"])
+    return _map(s.sql(GT, heavy=True, rows=ORDERS_PER_TASK), holes, ["image"])
 
 
 def results(s: Source) -> DataFrame:
@@ -63,7 +65,7 @@ def results(s: Source) -> DataFrame:
         (F.col("tokens_in") / 100).alias("latency_s"), F.col("tokens_in").alias("input_tokens"), F.col("tokens_out").alias("output_tokens"),
         (F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"), (F.col("tokens_in") / 1000).alias("cost_usd"),
     ).alias("usage")
-    return _map(s.sql(RESULTS, heavy=True), reply, ["run_id", "mode", "image", "seq", "error", usage])
+    return _map(s.sql(RESULTS, heavy=True, rows=ORDERS_PER_TASK), reply, ["run_id", "mode", "image", "seq", "error", usage])
 
 
 SCORED = """

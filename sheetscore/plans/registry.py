@@ -36,11 +36,11 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str, heavy: bool = False) -> DataFrame:
-        """`heavy` inputs are dealt out to all cores before the row-wise work on them."""
+    def sql(self, text: str, heavy: bool = False, rows: int | None = None) -> DataFrame:
+        """`heavy` inputs are dealt out to all cores, and `rows` of them to a task, before the row-wise work on them."""
         used = {n for n in re.findall(r"\{(\w+)\}", text)}
         text = EACH.sub(r"explode(array(\1))", text)
-        return self.spark.sql(text, **{n: spread(self.table(n)) if heavy else self.table(n) for n in used})
+        return self.spark.sql(text, **{n: spread(self.table(n), rows) if heavy else self.table(n) for n in used})
 
 
 def plain(sql: str) -> str:

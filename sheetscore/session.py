@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 
@@ -54,12 +55,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, rows: int | None = None) -> DataFrame:
     """A plain scan with fewer splits than cores, dealt out to all of them.
 
     For row-wise work that is heavy for its bytes. Tables of many files have
-    splits enough and are left as they are.
+    splits enough and are left as they are, unless a task should get no more than about
+    `rows`: so for work that widens its rows before it sorts or shuffles them. Rows are then dealt by their
+    hash, since a deal in turn would sort each split first.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        parts = max(parts, math.ceil(scan.count() / rows))
     splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan.repartition(cores) if splits < cores else scan
+    if splits >= parts:
+        return scan
+    return scan.repartition(parts, *[f"`{c}`" for c in scan.columns]) if rows else scan.repartition(parts)
