@@ -33,17 +33,28 @@ def iou(a, b, eps: float = 0.0) -> Column:
 
 
 def can_match(b) -> Column:
-    """A box that may overlap others: four finite corners, width and height above zero."""
-    finite = [b[c].isNotNull() & ~F.isnan(b[c]) & (F.abs(b[c]) < float("inf")) for c in CORNERS]
-    return F.coalesce(reduce(Column.__and__, finite) & (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), F.lit(False))
+    """A box that may overlap others: four finite corners, width and height above zero (NaN counts as the largest number)."""
+    end = float("inf")
+    finite = [(b[lo] > -end) & (b[hi] < end) & (b[hi] > b[lo]) for lo, hi in (("x1", "x2"), ("y1", "y2"))]
+    return F.coalesce(reduce(Column.__and__, finite), F.lit(False))
 
 
-def overlapping(a, b, thr: float, eps: float = 0.0) -> Column:
-    """The overlap of two boxes that may match and reach `thr`, else NULL: the one rule of every plan."""
+def overlapping(a, b, thr: float, eps: float = 0.0, fit: bool = False) -> Column:
+    """The overlap of two boxes that may match and reach `thr`, else NULL: the one rule of every plan.
+
+    The value is that of `iou`, written for boxes that can match: it is worked out for every candidate pair, and a
+    longer text is run as a whole by the byte code interpreter. `fit` says that both boxes are known to match.
+    """
     if not 0 < thr <= 1:
         raise ValueError(f"an overlap threshold lies above 0 and up to 1, not at {thr}")
-    value = iou(a, b, eps)
-    return F.when(can_match(a) & can_match(b) & (value >= thr), value)
+    side = lambda c, lo, hi: c[hi] - c[lo]
+    common = lambda lo, hi: F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo])
+    inter = common("x1", "x2") * common("y1", "y2")
+    union = side(a, "x1", "x2") * side(a, "y1", "y2") + side(b, "x1", "x2") * side(b, "y1", "y2") - inter
+    value = F.try_divide(inter, union + F.lit(eps) if eps else union)
+    # two gaps multiply to a positive number as well
+    met = (a["x1"] < b["x2"]) & (b["x1"] < a["x2"])
+    return F.when((met if fit else can_match(a) & can_match(b) & met) & (value >= thr), value)
 
 
 def has_box(bbox: Column) -> Column:

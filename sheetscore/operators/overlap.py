@@ -65,7 +65,7 @@ def grid_join(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> DataFr
     """-> (keys, p, t) of the pairs that overlap by `thr`."""
     p, t, on = _grid(p, t, keys, thr)
     joined = p.join(t, on)
-    return joined.filter(overlapping(F.col("p"), F.col("t"), thr).isNotNull()).select(*keys, "p", "t")
+    return joined.filter(overlapping(F.col("p"), F.col("t"), thr, fit=True).isNotNull()).select(*keys, "p", "t")
 
 
 def iou_join(
@@ -75,9 +75,9 @@ def iou_join(
     """Pairs with IoU >= thr -> (keys, p, t, iou); `p` and `t` are box structs."""
     keys = list(keys)
     t_keys = [k for k in keys if k in t.columns]
-    p, t = cut(p), cut(t)
+    p, t = (cut(df.filter(can_match(F.col(side)))) for df, side in ((p, "p"), (t, "t")))
     big = oversized_pairs(p, t, keys, t_keys, max_rows, max_cells)
-    overlap = overlapping(F.col("p"), F.col("t"), thr)
+    overlap = overlapping(F.col("p"), F.col("t"), thr, fit=True)
     if big is None:
         pairs = p.join(t, t_keys).filter(overlap.isNotNull())
     else:
@@ -108,18 +108,17 @@ def gt_hit(
 ) -> DataFrame:
     """Truth boxes some confident prediction covers, not exclusively.
 
-    The predictions of a bounded image travel as one array to its truth boxes. In larger ones distinct boxes meet on the
+    The boxes of a bounded image meet all. In larger ones distinct boxes meet on the
     grid, since copies of a box answer alike. -> (keys, gt_idx)
     """
     keys = list(keys)
     t_keys = [k for k in keys if k in gt.columns]
-    p = cut(pred.filter(F.col("score") >= conf).select(*keys, _box(pred, "p")))
-    boxes = cut(gt.select(*t_keys, "gt_idx", _box(gt, "t")))
+    p = cut(pred.filter(F.col("score") >= conf).select(*keys, _box(pred, "p")).filter(can_match(F.col("p"))))
+    boxes = cut(gt.select(*t_keys, "gt_idx", _box(gt, "t")).filter(can_match(F.col("t"))))
 
     def small(p: DataFrame) -> DataFrame:
-        lists = p.groupBy(*keys).agg(F.collect_set("p").alias("_ps"))
-        hit = F.exists("_ps", lambda one: overlapping(one, F.col("t"), thr).isNotNull())
-        return boxes.join(lists, t_keys).filter(hit).select(*keys, "gt_idx")
+        met = boxes.join(p, t_keys).filter(overlapping(F.col("p"), F.col("t"), thr, fit=True).isNotNull())
+        return met.select(*keys, "gt_idx").distinct()
 
     big = oversized_pairs(p, boxes, keys, t_keys, max_rows, max_cells)
     if big is None:
