@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .groups import oversized
+from .groups import oversized, small_table
 
 MAX_WINDOW_ROWS = 2_000_000
 
@@ -30,11 +30,11 @@ class Ordered:
         keys = [*self.keys, "_slice"] if self.sliced else self.keys
         return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
-    def _offsets(self, out: str, total: Column, slices: Column, fold) -> DataFrame:
-        """Per (key, slice): `fold` over the slices that come before it in the order `slices`."""
+    def _offsets(self, totals: dict[str, Column], slices: Column, fold) -> DataFrame:
+        """Per (key, slice): `fold` over the slices that come before it in the order `slices`; one row each, brought over once."""
         w = Window.partitionBy(*self.keys).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
-        totals = self.df.groupBy(*self.keys, "_slice").agg(total.alias(out))
-        return totals.select(*self.keys, "_slice", fold(out).over(w).alias(out))
+        rows = self.df.groupBy(*self.keys, "_slice").agg(*[c.alias(out) for out, c in totals.items()])
+        return small_table(rows.select(*self.keys, "_slice", *[fold(out).over(w).alias(out) for out in totals]))
 
     def running(self, **sums: Column) -> "Ordered":
         """Add inclusive running sums."""
@@ -42,12 +42,9 @@ class Ordered:
         for out, c in sums.items():
             df = df.withColumn(out, F.sum(c).over(self._window(*self.order)))
         if self.sliced:
-            for out, c in sums.items():
-                before = self._offsets("_before", F.sum(c), F.asc("_slice"), F.sum)
-                df = df.join(before, [*self.keys, "_slice"]).withColumn(
-                    out, F.col(out) + F.coalesce("_before", F.lit(0))
-                )
-                df = df.drop("_before")
+            before = self._offsets({f"_{out}": F.sum(c) for out, c in sums.items()}, F.asc("_slice"), F.sum)
+            df = df.join(before, [*self.keys, "_slice"])
+            df = df.withColumns({out: F.col(out) + F.coalesce(f"_{out}", F.lit(0)) for out in sums}).drop(*[f"_{out}" for out in sums])
         return replace(self, df=df)
 
     def max_from_here(self, out: str, c: Column, number: str) -> "Ordered":
@@ -58,7 +55,7 @@ class Ordered:
         """
         df = self.df.withColumn(out, F.max(c).over(self._window(F.desc(number))))
         if self.sliced:
-            after = self._offsets("_after", F.max(c), F.desc("_slice"), F.max)
+            after = self._offsets({"_after": F.max(c)}, F.desc("_slice"), F.max)
             df = df.join(after, [*self.keys, "_slice"]).withColumn(out, F.greatest(out, "_after")).drop("_after")
         return replace(self, df=df)
 
@@ -73,9 +70,12 @@ def ordered(
 
     `counted` is a cheaper table that has at least as many rows per key.
     """
+    df = cut(df) if counted is None else df
     if oversized(df if counted is None else counted, keys, max_rows) is None:
         return Ordered(df, keys, order, False)
     by = [*[F.col(k) for k in keys], *order]
+    # the bounds of the ranges are sampled first, so the rows are read twice: derive them once
+    df = df if counted is None else cut(df)
     sliced = cut(df.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id()))
     return Ordered(sliced, keys, order, True)
 

@@ -36,3 +36,22 @@ def test_truth_boxes_meet_predictions_in_a_join(spark):
     hit = gt_hit(pred, gt)
     assert [tuple(r) for r in hit.collect()] == [("r", "i", "c", 0)]
     assert "collect_set" not in hit._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_to_be_sliced_are_derived_once(spark):
+    """A range partitioning samples its input first."""
+    from sheetscore.operators.prefix import ordered
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(300).selectExpr("id % 2 AS k", "id").mapInPandas(look, "k long, id long")
+    out = ordered(rows, ["k"], [F.asc("id")], max_rows=10, counted=spark.range(300).selectExpr("id % 2 AS k")).running(n=F.lit(1).cast("long"), s=F.col("id"))
+    out = out.max_from_here("best", F.col("id") % 7, "n").done()
+    got = {r["id"]: (r["n"], r["s"], r["best"]) for r in out.collect()}
+    assert got == {i: (i // 2 + 1, sum(range(i % 2, i + 1, 2)), max(j % 7 for j in range(i, 300, 2))) for i in range(300)}
+    assert seen.value == 300
