@@ -27,8 +27,8 @@ def _level(side: Column) -> Column:
 def _grid(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with the keys and cells, sized like the boxes themselves, on which partners meet.
 
-    Boxes that overlap by `thr` have sides within a factor 1/thr and centres
-    within (1 - thr) of the longer side. A prediction sits in the one cell of
+    Boxes that overlap by `thr` do so along each axis: their sides lie within a factor 1/thr, and their centres
+    within (1 - thr) / (1 + thr) of the mean side. A prediction sits in the one cell of
     its size class that holds its centre; a truth box is copied to the cells of
     all size classes that such a partner can sit in. Each pair meets once.
     """
@@ -47,7 +47,8 @@ def _grid(p: DataFrame, t: DataFrame, keys: list[str], thr: float) -> tuple[Data
             f"_l{name}", F.explode(F.sequence(_level(side) - near, _level(side) + near))
         )
         cell = F.pow(F.lit(2.0), F.col(f"_l{name}") + 1)
-        reach = F.greatest(cell, side) * (1 - thr) * (1 + 1e-9)
+        # a partner of this size class is at most as long as its cell
+        reach = (F.least(cell, side / thr) + side) / 2 * ((1 - thr) / (1 + thr)) * (1 + 1e-9)
         t = t.withColumn(
             f"_c{name}", F.explode(F.sequence(F.floor((centre - reach) / cell), F.floor((centre + reach) / cell)))
         )
