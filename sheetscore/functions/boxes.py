@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import exact_round
+from .numbers import exact_round, rounded_text
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -72,8 +73,20 @@ def box_area(bbox: Column) -> Column:
     return exact_round(bbox[2] * bbox[3], 2)
 
 
+def _four(bbox: Column, value: Callable[[Column], Column]) -> list[Column]:
+    """`value` of the numbers of a box, written out: lambdas are never compiled."""
+    return [value(F.get(bbox, F.lit(i))) for i in range(4)]
+
+
 def round_box(bbox: Column, digits: int) -> Column:
-    return F.transform(bbox, lambda v: exact_round(v, digits))
+    rounded = lambda v: exact_round(v, digits)
+    return F.when(F.size(bbox) == 4, F.array(*_four(bbox, rounded))).otherwise(F.transform(bbox, rounded))
+
+
+def place(bbox: Column, digits: int) -> Column:
+    """A text that two boxes share if their rounded numbers are the same."""
+    shown = lambda v: rounded_text(v, digits)
+    return F.when(F.size(bbox) == 4, F.concat_ws(",", *_four(bbox, shown))).otherwise(F.array_join(F.transform(bbox, shown), ","))
 
 
 def yolo_box(bbox: Column, width: Column, height: Column) -> list[Column]:

@@ -50,24 +50,27 @@ def _rounded(v: Column, digits: int) -> tuple[Column, Column]:
     """Whole part and rounded decimals (as an integer) of |v|, halves to even; at most 6 digits.
 
     Decided on the exact binary value, as C and Python do; the engine's own
-    `round` works on the printed digits and differs on ties such as 12.25. The
+    `round` works on the printed digits and differs on ties such as 12.25. A
+    product that is no half lies on the side of the exact one. For halves the
     fraction is split into two halves of its bits (Veltkamp), whose products with
     10^digits are exact, so `error` is exactly what the product `scaled` lost.
     """
     unit = F.lit(float(10**digits))
-    once = lambda value, body: F.transform(F.array(value), body)[0]  # written out, the shared parts are too much code to be compiled
+    # written out, the shared parts are too much code to be compiled; a lambda is never compiled, so only halves come here
+    once = lambda value, body: F.transform(F.array(value), body)[0]
 
-    def decimals(share: Column, scaled: Column, high: Column) -> Column:
+    def half_up(share: Column, scaled: Column, high: Column) -> Column:
         error = (high * unit - scaled) + (share - high) * unit
-        near = F.floor(scaled)
-        half = scaled - near - 0.5
-        up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & (near % 2 == 1))))
-        return near + up.cast("bigint")
+        return (error > 0) | ((error == 0) & (F.floor(scaled) % 2 == 1))
 
     size = F.abs(v)
     whole = F.floor(size)
+    scaled = (size - whole) * unit
+    near = F.floor(scaled)
     parts = once(size - whole, lambda s: F.struct(s.alias("s"), (s * unit).alias("scaled"), (s * F.lit(2.0**27 + 1)).alias("spread")))
-    return whole, once(parts, lambda p: decimals(p["s"], p["scaled"], p["spread"] - (p["spread"] - p["s"])))
+    at_half = once(parts, lambda p: half_up(p["s"], p["scaled"], p["spread"] - (p["spread"] - p["s"])))
+    over = scaled - near - 0.5
+    return whole, near + F.when(over != 0, over > 0).otherwise(at_half).cast("bigint")
 
 
 def exact_round(v: Column, digits: int) -> Column:
@@ -82,6 +85,14 @@ def exact_round(v: Column, digits: int) -> Column:
     return F.when(~fine, v).otherwise(size * F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
 
 
+def rounded_text(v: Column, digits: int) -> Column:
+    """A text that two numbers share exactly if their `exact_round` is the same number (so -0.0 is 0.0)."""
+    fine = F.abs(v) < F.lit(2.0**53 / 10**digits)
+    whole, part = _rounded(F.when(~fine, F.lit(0.0)).otherwise(v), digits)
+    shown = (whole * 10**digits + part) * F.when(v < 0, F.lit(-1)).otherwise(F.lit(1))
+    return F.when(~fine, v.cast("string")).otherwise(shown.cast("string"))
+
+
 def fixed(v: Column, digits: int) -> Column:
     """Python's '%.{digits}f'."""
     whole, part = _rounded(v, digits)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import round_box
-from ..functions.numbers import exact_round, no_value
+from ..functions.boxes import place, round_box
+from ..functions.numbers import no_value
 from ..functions.text import has_text, stem
 from ..schemas import FEATURE, META, REGION
 
@@ -71,25 +71,27 @@ def resolve_ids(requests: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def _place(bbox: Column) -> Column:
-    return F.array_join(F.transform(bbox, lambda v: exact_round(v, 1).cast("string")), ",")
-
-
 def carry_text(new_regions: DataFrame, prior: DataFrame) -> DataFrame:
     """Give new boxes the text an earlier annotation had at the same place.
 
     prior (image, source, pos, bbox, text): lower `source` wins, then position.
+    Both sides move once, by image; earlier rows come before the new ones of their place.
     """
-    kept = (
-        prior.filter(has_text(F.col("text")))
-        .groupBy("image", _place(F.col("bbox")).alias("_at"))
-        .agg(F.min_by("text", F.struct("source", "pos")).alias("_text"))
+    at = place(F.col("bbox"), 1)
+    earlier = prior.filter(has_text(F.col("text"))).select(
+        "image", at.alias("_at"), F.lit(False).alias("_new"), F.col("source").alias("_source"), F.col("pos").alias("_pos"), F.col("text").alias("_text")
+    )
+    rows = new_regions.withColumns({"_at": at, "_new": F.lit(True)}).unionByName(earlier, allowMissingColumns=True)
+    so_far = (
+        Window.partitionBy("image", "_at").orderBy("_new", "_source", "_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    known = F.col("image").isNotNull() & F.col("_at").isNotNull()
     return (
-        new_regions.withColumn("_at", _place(F.col("bbox")))
-        .join(kept, ["image", "_at"], "left")
-        .withColumn("text", F.coalesce("_text", F.lit("")))
-        .drop("_at", "_text")
+        rows.repartition("image")
+        .withColumn("_text", F.first("_text", ignorenulls=True).over(so_far))
+        .filter("_new")
+        .withColumn("text", F.coalesce(F.when(known, F.col("_text")), F.lit("")))
+        .drop("_at", "_new", "_source", "_pos", "_text")
     )
 
 

@@ -199,7 +199,10 @@ SELECT image, concat_ws(',', printf('%.1f', x), printf('%.1f', y), printf('%.1f'
 SELECT r.image, r.pos, coalesce(k.t, '') AS text FROM r LEFT JOIN kept k ON k.image = r.image AND k.at = concat_ws(',', printf('%.1f', r.x), printf('%.1f', r.y), printf('%.1f', r.w), printf('%.1f', r.h))""")
 def carried(s: Source):
     new = s.sql(REGIONS).select("image", "pos", F.array("x", "y", "w", "h").alias("bbox"))
-    old = s.sql(PRIOR).select("image", "source", "pos", F.array("x", "y", "w", "h").alias("bbox"), "text")
+    # the rows of PRIOR, with the lines numbered once for both sources
+    moved = F.struct(F.lit(0).alias("source"), F.array(F.col("x") + 0.02, "y", "w", "h").alias("bbox"), "text")
+    kept = F.struct(F.lit(1).alias("source"), F.array("x", "y", "w", "h").alias("bbox"), F.concat(F.lit("old "), "pos").alias("text"))
+    old = s.sql(REGIONS).select("image", "pos", F.explode(F.array(moved, kept)).alias("r")).select("image", "r.source", "pos", "r.bbox", "r.text")
     return carry_text(new, old).select("image", "pos", "text")
 
 
