@@ -174,6 +174,11 @@ def may_be_seen(keys: np.ndarray, b: int, bits: np.ndarray) -> np.ndarray:
     return (both & 1).astype(bool)
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """`table` for a join that moves both sides: tables of words grow with the vocabulary, and as packed files they look small enough to broadcast."""
+    return table.hint("merge")
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(word, n, other, m): both orders of every two words of (word, n) exactly one edit apart."""
     tables = alphabets(vocabulary)
@@ -216,7 +221,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     index = written(arrow_map(rows, indexed, "key long, other string, m long"), batch=NUMBER_BATCH)
     shared = vocabulary.sparkSession.sparkContext.broadcast(seen_codes(index))
     probes = arrow_map(rows, probed, "key long, word string, n long")
-    met = probes.join(index, "key").filter((F.abs(F.length("word") - F.length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1))
+    met = probes.join(shuffled(index), "key").filter((F.abs(F.length("word") - F.length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1))
     # two words may meet under several codes
     return met.select("word", "n", "other", "m").distinct()
 
@@ -228,7 +233,7 @@ def roots(forms: DataFrame) -> DataFrame:
     """
     now = written(forms.toDF("word", "root"), batch=NUMBER_BATCH)
     while True:
-        ahead = now.toDF("root", "next")
+        ahead = shuffled(now.toDF("root", "next"))
         far = written(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), batch=NUMBER_BATCH)
         now = far.select("word", "root")
         if not far.filter("moved").take(1):
@@ -249,10 +254,10 @@ def spelling_variants(
     vocabulary = written(word_counts(docs, least_letters, least_count, every), batch=NUMBER_BATCH)
     best = F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best")
     near = near_words(vocabulary).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    words = vocabulary.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
+    words = vocabulary.join(shuffled(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
     fits = -F.col("best.m") >= ratio * F.col("n")
     words = written(words.select(
         "word", F.when(fits, F.col("best.other")).alias("form"), "n", "n_near", F.when(fits, -F.col("best.m")).alias("form_n")
     ), batch=NUMBER_BATCH)
     last = roots(words.filter("form IS NOT NULL").select("word", "form"))
-    return words.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return words.join(shuffled(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
