@@ -264,10 +264,12 @@ def simhash_groups(
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One document, the one of the smallest doc_id, of each group of near copies (minhash.near_copies); all its columns.
 
-    simhash_groups over the same shingles proposes what its links tie together, the bands of minhash propose what two
-    bits do not reach; only pairs whose shingles have the Jaccard coefficient link. Rows without an id are in no group and stay.
+    The groups of simhash_groups over the same shingles are compared in full, all members with each other; the bands of
+    minhash propose what two bits do not reach. Pairs whose shingles have the Jaccard coefficient link. Rows without an
+    id are in no group and stay.
     """
     given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    proposed = simhash_groups(given, words).filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    gone = near_copies(docs, words, similarity, proposed=written(proposed, batch=NUMBER_BATCH)).filter("doc_id <> root").select("doc_id")
+    groups = simhash_groups(given, words).select("doc_id", F.col("component_id").alias("component"))
+    shared = groups.join(groups.groupBy("component").count().filter("count > 1").select("component"), "component")
+    gone = near_copies(docs, words, similarity, groups=written(shared, batch=NUMBER_BATCH)).filter("doc_id <> root").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
