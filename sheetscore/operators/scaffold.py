@@ -9,6 +9,7 @@ from ..functions.boxes import place, round_box
 from ..functions.numbers import no_value
 from ..functions.text import has_text, stem
 from ..schemas import FEATURE, META, REGION
+from ..session import cut
 
 # What a record starts with.
 META_DEFAULT = {"standard": "unknown", "source_type": "unknown", "clutter": "med", "has_gdt": False, "difficulty": "med"}
@@ -118,10 +119,10 @@ def scaffold_records(images: DataFrame, boxes: DataFrame, prior: DataFrame, sche
         F.lit(None).cast("int").alias("id"), "class", "bbox", "text",
         F.lit(None).cast("array<string>").alias("cells"), F.lit(None).alias("parsed"),
     ).cast(REGION)
-    # an image's regions form one record by definition of the format
-    filled = carry_text(new, earlier).groupBy("image").agg(
+    # an image's regions form one record by definition of the format; what each step has shuffled goes before the next
+    filled = cut(carry_text(cut(new), earlier).groupBy("image").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("id", region.alias("r")))), lambda x: x["r"]).alias("_new")
-    )
+    ))
     kept = prior.select(
         "image",
         F.filter("regions", lambda r: r["class"] == "table").alias("_tables"),
