@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_round, f1, ratio
 from ..functions.boxes import CORNERS
+from ..session import cut
 from .assign import greedy_box_match
 from .groups import small_table
 from .overlap import argmax_box_match
@@ -146,14 +147,15 @@ def detection_detail(pred: DataFrame, gt: DataFrame, sizes: DataFrame) -> DataFr
     """
     box = [exact_round(F.col(c), 1).alias(c) for c in CORNERS]
     truth = gt.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("class", "gt_idx", *box))).alias("gt"))
-    best = top_predictions(pred).groupBy("run_id", "image").agg(
+    # predictions move once, by image; what each part has shuffled goes before the next one begins
+    best = top_predictions(pred.repartition("image")).groupBy("run_id", "image").agg(
         F.sort_array(
             F.collect_list(F.struct("class", "rank", exact_round(F.col("score"), 4).alias("score"), *box))
         ).alias("pred")
     )
     raw = pred.groupBy("run_id", "image").agg(F.count(F.lit(1)).alias("n_pred_total"))
     return (
-        raw.join(best, ["run_id", "image"], "left")
-        .join(truth, "image")
+        cut(raw.join(cut(best), ["run_id", "image"], "left"))
+        .join(cut(truth), "image")
         .join(sizes.select("image", "width", "height"), "image")
     )
